@@ -1,4 +1,4 @@
-from . import selection
+from . import books_and_flow, cleaning_and_bars, selection, windows
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
