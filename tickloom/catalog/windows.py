@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features, normalize, ofi, trades
 from ..plans import (
-    Axis, after, average_rank, change, over_rows, rolling_max, rolling_mean, rolling_min, rolling_std,
-    rolling_sum, running,
+    Axis, after, average_rank, change, over_rows, rolling_cov, rolling_max, rolling_mean, rolling_min, rolling_std,
+    rolling_sum, rolling_var, running,
 )
 from .base import W, WD, frame, full, over, query, r, rounded, table
 from .selection import RET, SIZE_OFI, daily_returns
@@ -167,3 +167,19 @@ def split_key_running(spark, folder):
 def split_key_ranks(spark, folder):
     df, axis = _small_tasks(spark, folder)
     return rounded(average_rank(df, axis, price_rank="trade_price").select("symbol", "seq", "price_rank"))
+
+
+COV20 = "(PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query(over("ticks", f"""
+SELECT symbol, seq, CASE WHEN count(bid_size * ofi) OVER {COV20} >= 20 THEN {r(f'covar_samp(bid_size, ofi) OVER {COV20}', 3)} END AS cov,
+       CASE WHEN count(ofi) OVER {COV20} >= 20 THEN {r(f'var_samp(ofi) OVER {COV20}', 3)} END AS var FROM x""", x=SIZE_OFI))
+def rolling_covariance(spark, folder):
+    df, axis = table(spark, folder, "ticks")
+
+    def build(d, w):
+        d = d.withColumn("ofi", ofi.ofi_column(w, "size_only"))
+        return d.withColumns({"cov": rolling_cov("bid_size", "ofi", w, 20), "var": rolling_var("ofi", w, 20)})
+
+    return rounded(over_rows(df, axis, build, back=20).select("symbol", "seq", "cov", "var"), 3)

@@ -12,16 +12,16 @@ from ..plans import Axis, TICKS, after, before, over_rows, running
 HORIZONS = {"30s": "30 seconds", "1min": "1 minute", "5min": "5 minutes"}
 
 
-def _known_at(x: Column, axis: Axis) -> Column:
+def _known_at(x: Column, df: DataFrame, axis: Axis) -> Column:
     """The row order where ``x`` is known: first and last skip missing values."""
-    return F.when(x.isNotNull(), axis.at())
+    return F.when(x.isNotNull(), axis.at(df))
 
 
 def time_bars(
     df: DataFrame, axis: Axis = TICKS, freq: str = "1 minute", price: str = "price", volume: str = "volume",
 ) -> DataFrame:
     """Open, high, low, close and volume per left-closed bin; bins without a price are left out."""
-    p, at = col(price), _known_at(col(price), axis)
+    p, at = col(price), _known_at(col(price), df, axis)
     return (
         df.groupBy(*axis.keys, bin_start(axis.ts, interval_micros(freq)).alias("bar_start"))
         .agg(
@@ -57,7 +57,7 @@ def ofi_bars(
             raise ValueError("horizons must be whole multiples of the shortest one or of a second")
     small = df.groupBy(*axis.keys, bin_start(axis.ts, finest).alias("_bin")).agg(
         F.sum(ofi).alias("ofi"),
-        F.max_by(mid, _known_at(col(mid), axis)).alias("mid_price"),
+        F.max_by(mid, _known_at(col(mid), df, axis)).alias("mid_price"),
         F.sum(size).alias("volume"),
         F.count(side).alias("n_trades"),
     )
@@ -127,7 +127,7 @@ def volume_bars(
 ) -> DataFrame:
     """One row per volume bar: last time, open, high, low, close, volume and VWAP."""
     p, v = col(price), col(volume)
-    at = _known_at(p, axis)
+    at = _known_at(p, df, axis)
     bars = (
         volume_bar_ids(df, axis, threshold, volume)
         .groupBy(*axis.keys, "bar_id")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import mid_price, queue_imbalance, quoted_spread, ratio, weighted_mid, zero_to_null
 from ..plans import (
-    POS, Axis, TICKS, after, attach, before, change, lay_out, over_rows, rolling_mean, rolling_std,
-    rolling_sum, running, with_positions,
+    POS, Axis, TICKS, after, attach, before, change, lay_out, over_rows, rolling_mean, rolling_std, running,
+    with_positions, with_rolling_sums,
 )
 from .ofi import OFI_SUMS, ofi_column
 from .trades import amihud, count_imbalance, kyle_lambda, side_sign, simple_return, with_vwap
@@ -36,7 +36,6 @@ def _feature_columns(price: str, volume: str):
         ).withColumn("_signed", F.col("_sign") * F.col(volume))
         d = d.withColumns(
             {
-                **{label: rolling_sum("ofi", w, n) for label, n in OFI_SUMS.items()},
                 "spread_change": change("spread", w),
                 "trade_imbalance": count_imbalance(w, "_sign"),
                 "kyle_lambda": kyle_lambda("_ret", "_signed", w),
@@ -45,6 +44,7 @@ def _feature_columns(price: str, volume: str):
                 "ofi_norm": ratio("ofi", zero_to_null(rolling_std("ofi", w, 20))),
             }
         )
+        d = with_rolling_sums(d, w, **{label: ("ofi", n) for label, n in OFI_SUMS.items()})
         return d.drop("_sign", "_ret", "_signed")
 
     return build
@@ -146,11 +146,17 @@ def lag_model_table(
 
 
 def chronological_split(df: DataFrame, axis: Axis = TICKS, train: float = 0.7, out: str = "is_train") -> DataFrame:
-    """Flag the first ``int(train · n)`` rows of each key."""
+    """Flag the first ``int(train · n)`` rows of each key.
+
+    Only the order columns are numbered, to find the last training row of each key; the rows
+    themselves are compared with it where they are.
+    """
     axis = axis.measured(df)
     sizes = df.groupBy(*axis.keys).agg(F.floor(F.lit(train) * F.count("*")).alias("_cut"))
-    placed = attach(with_positions(df, axis), sizes, axis.keys, axis.n_keys)
-    return placed.withColumn(out, F.col(POS) < F.col("_cut")).drop(POS, "_cut")
+    placed = attach(with_positions(df.select(*axis.keys, *axis.order), axis), sizes, axis.keys, axis.n_keys)
+    last = placed.filter(F.col(POS) == F.col("_cut") - 1).select(*axis.keys, F.struct(*axis.order).alias("_last"))
+    flagged = attach(df, last, axis.keys, axis.n_keys)
+    return flagged.withColumn(out, F.coalesce(F.struct(*axis.order) <= F.col("_last"), F.lit(False))).drop("_last")
 
 
 def backtest(df: DataFrame, axis: Axis = TICKS, price: str = "close", window: int = 20) -> DataFrame:

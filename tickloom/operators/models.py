@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import unit_root_p
-from ..plans import Axis, TICKS, attach, over_rows, trailing
+from ..plans import Axis, TICKS, attach, materialise, over_rows, trailing
 from .features import chronological_split
 from .normalize import standardise_on_train
 from .stats import rank_ic
@@ -85,7 +85,8 @@ def ridge_baseline(
 ) -> DataFrame:
     """Fit on the first rows of each key, report rank IC and R² on the rest."""
     axis = axis.measured(df)
-    whole = df.select(*axis.keys, *axis.order, *features, target).na.drop("any")
+    # the fit, the scaling and the scores each read these rows: compute them once
+    whole = materialise(df.select(*axis.keys, *axis.order, *features, target).na.drop("any"))
     split = chronological_split(whole, axis, train)
     scaled = standardise_on_train(split, list(features), axis)
     fit = ridge_fit(scaled.filter("is_train"), list(features), target, axis, alpha)

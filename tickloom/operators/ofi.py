@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import ratio, zero_to_null
-from ..plans import Axis, TICKS, before, change, over_rows, rolling_mean, rolling_std, rolling_sum
+from ..plans import Axis, TICKS, before, change, over_rows, rolling_mean, rolling_std, with_rolling_sums
 
 VARIANTS = ("cont", "reset", "signed_current", "size_only")
 
@@ -61,10 +61,8 @@ def with_rolling_ofi(df: DataFrame, axis: Axis = TICKS, windows=(5, 10), ofi: st
     def build(d, w):
         added = {}
         for n in windows:
-            added[f"ofi_mean_{n}"] = rolling_mean(ofi, w, n)
-            added[f"ofi_std_{n}"] = rolling_std(ofi, w, n)
-            added[f"ofi_sum_{n}"] = rolling_sum(ofi, w, n)
-        return d.withColumns(added)
+            added |= {f"ofi_mean_{n}": rolling_mean(ofi, w, n), f"ofi_std_{n}": rolling_std(ofi, w, n)}
+        return with_rolling_sums(d.withColumns(added), w, **{f"ofi_sum_{n}": (ofi, n) for n in windows})
 
     return over_rows(df, axis, build, back=max(windows) - 1)
 
@@ -73,7 +71,7 @@ def with_ofi_sums(df: DataFrame, axis: Axis = TICKS, sums: dict[str, int] = OFI_
     """Sums of OFI over trailing numbers of rows."""
     return over_rows(
         df, axis,
-        lambda d, w: d.withColumns({label: rolling_sum(ofi, w, n) for label, n in sums.items()}),
+        lambda d, w: with_rolling_sums(d, w, **{label: (ofi, n) for label, n in sums.items()}),
         back=max(sums.values()) - 1,
     )
 

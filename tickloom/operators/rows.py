@@ -99,8 +99,8 @@ def ends(df: DataFrame, axis: Axis = TICKS, columns: list[str] | None = None) ->
     """First and last row of each key, side by side as ``first_*`` and ``last_*``."""
     columns = columns or [c for c in df.columns if c not in axis.keys]
     return df.groupBy(*axis.keys).agg(
-        *[F.min_by(c, axis.at()).alias(f"first_{c}") for c in columns],
-        *[F.max_by(c, axis.at()).alias(f"last_{c}") for c in columns],
+        *[F.min_by(c, axis.at(df)).alias(f"first_{c}") for c in columns],
+        *[F.max_by(c, axis.at(df)).alias(f"last_{c}") for c in columns],
     )
 
 

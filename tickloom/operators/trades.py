@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import interval_micros, mid_price, micros, ratio, trade_side, zero_to_null
 from ..plans import (
-    Axis, TICKS, before, change, over_rows, rolling_cov, rolling_mean, rolling_sum, rolling_var, running,
+    Axis, TICKS, before, change, over_rows, rolling_mean, running, trailing, with_rolling_sums,
 )
 
 
@@ -52,10 +52,9 @@ def with_trade_imbalance(
                 "sell_vol": F.when(side == -1, F.col(volume)).otherwise(0),
             }
         )
-        buy, sell = rolling_sum("buy_vol", w, window), rolling_sum("sell_vol", w, window)
-        return d.withColumn(
-            out, F.when(buy + sell > 0, ratio(buy - sell, buy + sell)).otherwise(F.lit(0.0))
-        )
+        d = with_rolling_sums(d, w, _buy=("buy_vol", window), _sell=("sell_vol", window))
+        total, net = F.col("_buy") + F.col("_sell"), F.col("_buy") - F.col("_sell")
+        return d.withColumn(out, F.when(total > 0, ratio(net, total)).otherwise(F.lit(0.0))).drop("_buy", "_sell")
 
     return over_rows(df, axis, build, back=window - 1)
 
@@ -76,8 +75,15 @@ def simple_return(x: str | Column, w: WindowSpec) -> Column:
 
 
 def kyle_lambda(ret: str | Column, signed_volume: str | Column, w: WindowSpec, n: int = 20) -> Column:
-    """Rolling covariance of returns with signed volume over the variance of signed volume."""
-    return ratio(rolling_cov(ret, signed_volume, w, n), zero_to_null(rolling_var(signed_volume, w, n)))
+    """Rolling covariance of returns with signed volume over the variance of signed volume.
+
+    In a frame of ``n`` whole pairs that is the slope of a line through them, which is one
+    aggregate and missing for a constant volume.
+    """
+    ret = F.col(ret) if isinstance(ret, str) else ret
+    volume = F.col(signed_volume) if isinstance(signed_volume, str) else signed_volume
+    frame = trailing(w, n)
+    return F.when(F.count(ret * volume).over(frame) >= n, F.regr_slope(ret, volume).over(frame))
 
 
 def amihud(ret: str | Column, volume: str | Column = "volume") -> Column:

@@ -12,7 +12,7 @@ from .features import FEATURES
 def first_row_audit(model: DataFrame, features: list[str], axis: Axis = TICKS) -> DataFrame:
     """First value of each feature per key after lagging and dropping; passes when it is known."""
     firsts = model.groupBy(*axis.keys).agg(
-        *[F.min_by(F.struct(F.col(c).cast("double").alias("v")), axis.at()).alias(c) for c in features]
+        *[F.min_by(F.struct(F.col(c).cast("double").alias("v")), axis.at(model)).alias(c) for c in features]
     )
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}.v").alias("first_value")) for c in features]
     return firsts.select(*axis.keys, F.explode(F.array(*rows)).alias("_r")).select(*axis.keys, "_r.*").withColumn(

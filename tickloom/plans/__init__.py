@@ -3,7 +3,7 @@ from .layout import attach, lay_out, materialise, number_rows, with_positions
 from .ranking import average_rank, quantiles, value_counts_upto
 from .rolling import (
     after, before, change, over_rows, rolling, rolling_cov, rolling_max, rolling_mean, rolling_min,
-    rolling_rank, rolling_std, rolling_sum, rolling_var, trailing,
+    rolling_rank, rolling_std, rolling_sum, rolling_var, trailing, with_rolling_sums,
 )
 from .running import running
 
@@ -11,5 +11,5 @@ __all__ = [
     "Axis", "DAILY", "POS", "TICKS", "after", "attach", "average_rank", "before", "change", "lay_out",
     "materialise", "number_rows", "over_rows", "quantiles", "rolling", "rolling_cov", "rolling_max",
     "rolling_mean", "rolling_min", "rolling_rank", "rolling_std", "rolling_sum", "rolling_var", "running",
-    "trailing", "value_counts_upto", "with_positions",
+    "trailing", "value_counts_upto", "with_positions", "with_rolling_sums",
 ]

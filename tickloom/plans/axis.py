@@ -13,10 +13,12 @@ so the same measured axis stays a valid upper bound for them and is passed along
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POS = "_pos"
 
@@ -25,7 +27,7 @@ POS = "_pos"
 class Axis:
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("ts", "seq")
-    rows_per_task: int = 2_000_000
+    rows_per_task: int = 500_000
     widest: int | None = None
     n_keys: int | None = None
 
@@ -70,9 +72,23 @@ class Axis:
     def window(self) -> WindowSpec:
         return W.partitionBy(*self.keys).orderBy(*self.order)
 
-    def at(self) -> Column:
-        """One comparable value holding the whole order, for ``min_by`` and ``max_by``."""
-        return F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
+    def at(self, df: DataFrame) -> Column:
+        """One comparable value holding the whole order, for ``min_by`` and ``max_by``.
+
+        A time stamp and a whole number become one decimal, which a hash aggregate can hold;
+        a struct would make Spark sort the rows first.
+        """
+        if len(self.order) == 1:
+            return F.col(self.order[0])
+        kinds = [df.schema[c].dataType for c in self.order]
+        if (
+            len(kinds) == 2
+            and isinstance(kinds[0], (T.TimestampNTZType, T.TimestampType))
+            and isinstance(kinds[1], T.IntegralType)
+        ):
+            us = F.unix_micros(F.col(self.order[0]).cast("timestamp"))
+            return us.cast("decimal(18,0)") * F.lit(Decimal(2**64)) + F.col(self.order[1])
+        return F.struct(*self.order)
 
 
 TICKS = Axis()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .axis import Axis
-from .layout import BROADCAST_ROWS, materialise
+from .layout import BROADCAST_ROWS, attach, materialise
 from .running import running
 
 
@@ -62,7 +62,7 @@ def quantiles(df: DataFrame, axis: Axis, x: str, probs: list[float], name: str =
         return df.groupBy(*axis.keys).agg(F.percentile(x, F.array(*map(F.lit, probs))).alias(name))
     upto = value_counts_upto(df, axis, x)
     sizes = df.groupBy(*axis.keys).agg(F.count(x).alias("_n"))
-    placed = upto.join(sizes, list(axis.keys))
+    placed = attach(upto, sizes, axis.keys, axis.n_keys)
 
     def value_at(index):
         holds = (F.col("_upto") - F.col("_same") <= index) & (index < F.col("_upto"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .axis import POS, Axis
-from .layout import attach, number_rows
+from .layout import number_rows
 
 _WHOLE = {
     "sum": F.sum,
@@ -26,24 +26,12 @@ def _aggregate(kind: str, x: Column, at: Column, frame=None) -> Column:
     return F.last(x, ignorenulls=True).over(frame)
 
 
-def _combine(kind: str, carry: Column, local: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(carry + local, local, carry)
-    if kind == "product":
-        return F.coalesce(carry * local, local, carry)
-    if kind == "min":
-        return F.least(carry, local)
-    if kind == "max":
-        return F.greatest(carry, local)
-    return F.coalesce(local, carry)
-
-
 def running(df: DataFrame, axis: Axis, **specs: tuple[str, Column | str]) -> DataFrame:
     """Add ``name = (kind, value)`` columns accumulated over all rows up to the current one.
 
     ``kind`` is ``sum``, ``product``, ``min``, ``max`` or ``last`` (last known value). Missing
     values are skipped. A key that fits in one task uses a plain cumulative window. A larger
-    one is done in two passes: totals of each run of rows, a small window over those totals,
+    one is done in two passes: totals of each run of rows and a small window over those totals,
     then a running value inside each run that starts from what the earlier runs left.
     """
     axis = axis.measured(df)
@@ -56,25 +44,20 @@ def running(df: DataFrame, axis: Axis, **specs: tuple[str, Column | str]) -> Dat
 
     rows = (df if laid_out else number_rows(df, axis)).withColumns(values)
     rows = rows.withColumn("_run", F.expr(f"{POS} div {axis.rows_per_task}L"))
-    on = (*axis.keys, "_run")
-    upto = W.partitionBy(*on).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*axis.keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(*on).agg(
-        *[_aggregate(kind, F.col(f"_in_{n}"), F.col(POS)).alias(f"_all_{n}") for n, (kind, _) in specs.items()]
+    totals = rows.groupBy(*axis.keys, "_run").agg(
+        *[_aggregate(kind, F.col(f"_in_{n}"), F.col(POS)).alias(f"_in_{n}") for n, (kind, _) in specs.items()]
     )
+    earlier = W.partitionBy(*axis.keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    # what the earlier runs left enters each run as one more row, ahead of its first
     carried = totals.select(
-        *on,
-        *[
-            _aggregate(kind, F.col(f"_all_{n}"), F.col("_run"), earlier).alias(f"_carry_{n}")
-            for n, (kind, _) in specs.items()
-        ],
-    )
-    local = rows.withColumns(
-        {f"_local_{n}": _aggregate(kind, F.col(f"_in_{n}"), F.lit(0), upto) for n, (kind, _) in specs.items()}
+        *axis.keys, "_run", F.lit(-1).cast("bigint").alias(POS),
+        *[_aggregate(kind, F.col(f"_in_{n}"), F.lit(0), earlier).alias(f"_in_{n}") for n, (kind, _) in specs.items()],
     )
-    joined = attach(local, carried, on, rows=None)
-    out = joined.withColumns(
-        {n: _combine(kind, F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (kind, _) in specs.items()}
+    upto = W.partitionBy(*axis.keys, "_run").orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
+    out = (
+        rows.unionByName(carried, allowMissingColumns=True)
+        .withColumns({n: _aggregate(kind, F.col(f"_in_{n}"), F.lit(0), upto) for n, (kind, _) in specs.items()})
+        .filter(F.col(POS) >= 0)
+        .drop("_run", *values)
     )
-    scratch = [f"_{part}_{n}" for n in specs for part in ("in", "local", "carry")]
-    return out.drop("_run", *scratch) if laid_out else out.drop("_run", POS, *scratch)
+    return out if laid_out else out.drop(POS)
