@@ -306,9 +306,9 @@ def test_pipeline_sizes(spark):
         "bid_size": [100 + i * 37 % 900 for i in range(n)], "ask_size": [100 + i * 91 % 900 for i in range(n)],
         "trade_price": [100.0 + (i * 11 % 9) / 4 for i in range(n)], "volume": [50 + i * 31 % 450 for i in range(n)],
     })
-    whole = features.feature_pipeline(df).na.drop("any", subset=[*features.FEATURES, "ret_1m"])
+    whole = features.lagged_feature_table(df).na.drop("any", subset=[*features.FEATURES, "ret_1m"])
     split = features.chronological_split(whole).groupBy("is_train").count().collect()
     assert whole.count() == 934 and {r.is_train: r["count"] for r in split} == {True: 653, False: 281}
     two_steps = features.add_targets_and_lags(features.compute_features(df))
     key = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
-    assert key(two_steps) == key(features.feature_pipeline(df))
+    assert key(two_steps) == key(features.lagged_feature_table(df))

@@ -171,13 +171,11 @@ def bar_uniformity(spark, folder):
 
 MONTHS = """SELECT symbol, last_day(m) AS month_end, coalesce(t, 0) AS total FROM
 (SELECT symbol, CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM mm GROUP BY symbol) LEFT JOIN mm USING (symbol, m)"""
-MONTHLY = "SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, sum(ret) AS t FROM x WHERE symbol <> '3-MEDIUM' OR month(date) <> 6 GROUP BY ALL"
+MONTHLY = "SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, sum(ret) AS t FROM x GROUP BY ALL"
 
 
 def _monthly(spark, folder):
     df, axis = daily_returns(spark, folder)
-    # one series loses every June, so that there are months without rows
-    df = df.filter((F.col("symbol") != "3-MEDIUM") | (F.month("date") != 6))
     return bars.month_sums(df, axis), axis
 
 

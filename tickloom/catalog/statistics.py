@@ -231,7 +231,7 @@ def tick_information_coefficient(spark, folder):
     for c in features.FEATURES), **WHOLE_STEPS))
 def feature_information_coefficients(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    d = features.feature_pipeline(df, axis)
+    d = features.lagged_feature_table(df, axis)
     # values equal up to the last bits must tie in every engine
     d = d.withColumns({c: F.round(c, 12) for c in (*features.FEATURES, "ret_1m")})
     return rounded(stats.feature_ic(d, list(features.FEATURES), axis), 4)
@@ -265,7 +265,7 @@ def price_and_return_unit_roots(spark, folder):
 @query()
 def ridge_baseline(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    return rounded(models.ridge_baseline(features.feature_pipeline(df, axis), list(features.FEATURES), axis), 4)
+    return rounded(models.ridge_baseline(features.lagged_feature_table(df, axis), list(features.FEATURES), axis), 4)
 
 
 RIDGE2 = {

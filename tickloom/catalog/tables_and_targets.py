@@ -45,14 +45,14 @@ def feature_table(spark, folder):
 @query(over("ticks", f"SELECT symbol, seq, {listed((*features.FEATURES, *features.TARGETS))} FROM lagged", **LAGGED_STEPS))
 def lagged_features_and_targets(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    d = features.feature_pipeline(df, axis).select("symbol", "seq", *features.FEATURES, *features.TARGETS)
+    d = features.lagged_feature_table(df, axis).select("symbol", "seq", *features.FEATURES, *features.TARGETS)
     return rounded(d, **DIGITS)
 
 
 @query(over("ticks", f"SELECT symbol, seq, {listed((*features.FEATURES, *features.TARGETS))} FROM lagged", **LAGGED_STEPS))
 def split_key_features(spark, folder):
     df, axis = table(spark, folder, "ticks", Axis(rows_per_task=400))
-    d = features.feature_pipeline(df, axis).select("symbol", "seq", *features.FEATURES, *features.TARGETS)
+    d = features.lagged_feature_table(df, axis).select("symbol", "seq", *features.FEATURES, *features.TARGETS)
     return rounded(d, **DIGITS)
 
 
@@ -230,7 +230,7 @@ INVARIANTS = {
     f'SELECT symbol, \'{k}\' AS "check", {v} AS violations, {v} = 0 AS passed FROM lagged GROUP BY symbol' for k, v in INVARIANTS.items()), **LAGGED_STEPS))
 def feature_invariants(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    return validate.feature_invariants(features.feature_pipeline(df, axis), axis)
+    return validate.feature_invariants(features.lagged_feature_table(df, axis), axis)
 
 
 @query(over("ticks", f"""

@@ -70,7 +70,7 @@ def add_targets_and_lags(
     return over_rows(df, axis, build, back=1, ahead=max(targets.values()))
 
 
-def feature_pipeline(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume") -> DataFrame:
+def lagged_feature_table(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume") -> DataFrame:
     """``compute_features`` and ``add_targets_and_lags`` over one ordering of the rows."""
     axis = axis.measured(df)
     d = with_vwap(lay_out(df, axis), axis, price, volume)

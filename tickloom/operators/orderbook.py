@@ -6,6 +6,8 @@ whose size is zero still counts as the best one, and books may cross.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,10 @@ def touch(events: DataFrame, axis: Axis = TICKS) -> DataFrame:
             )
         ).alias("_p"),
     ).select(*axis.keys, *axis.order, "_p.*", F.lit(1).alias("_look"), F.lit(None).cast("bigint").alias("quantity"))
-    levels = Axis(
-        (*axis.keys, "side", "_level"), (*axis.order, "_look"), axis.rows_per_task,
-        widest=3 * axis.widest if 3 * axis.widest <= axis.rows_per_task else None,
-    )
+    levels = Axis((*axis.keys, "side", "_level"), (*axis.order, "_look"), axis.rows_per_task)
+    if 3 * axis.widest <= axis.rows_per_task:
+        # an event adds one row and two look-ups, so no level can be wider than that
+        levels = replace(levels, widest=3 * axis.widest)
     sizes = (
         running(updates.unionByName(looks).filter(F.col("_level").isNotNull()), levels, _size=("sum", "quantity"))
         .filter("_look = 1")

@@ -160,7 +160,7 @@ def t_test(df: DataFrame, axis: Axis = TICKS, x: str = "ret", mean: float = 0.0,
 def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Number of tests, of raw rejections, the corrected threshold and rejections under it."""
     counted = tests.agg(F.count("*").alias("n_tests"))
-    return tests.crossJoin(F.broadcast(counted)).agg(
+    return tests.withColumn("n_tests", counted.scalar()).agg(
         F.max("n_tests").alias("n_tests"),
         F.count_if(F.col("p_value") < alpha).alias("significant_before"),
         F.max(F.lit(alpha) / F.col("n_tests")).alias("threshold"),
@@ -195,7 +195,11 @@ def ols_residuals(df: DataFrame, fit: DataFrame, y: str, x: str, keys: tuple[str
     """Skewness, kurtosis and Jarque–Bera statistic of the residuals of ``ols``."""
     coefficients = fit.select(*keys, "beta", "intercept")
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    joined = pairs.join(coefficients, list(keys)) if keys else pairs.crossJoin(F.broadcast(coefficients))
+    if keys:
+        joined = pairs.join(coefficients, list(keys))
+    else:
+        only = coefficients.select(F.struct("beta", "intercept")).scalar()
+        joined = pairs.withColumn("_fit", only).select("*", "_fit.*")
     agg = joined.withColumn("_e", F.col(y) - F.col("intercept") - F.col("beta") * F.col(x)).groupBy(*keys).agg(
         F.count("_e").alias("n"), F.skewness("_e").alias("skewness"), (F.kurtosis("_e") + 3).alias("kurtosis")
     )

@@ -5,8 +5,8 @@ that name one series (``keys``) and the columns that order the rows inside it (`
 which must be a total order, normally event time followed by an arrival number).
 
 An axis can also carry what is known about the size of the data: the row count of its
-largest key (``widest``) and the number of keys (``n_keys``).  ``measured`` fills both with
-one small aggregate; frames derived by filtering or aggregating have no more rows per key,
+largest key (``widest``), the number of keys (``n_keys``) and of rows (``total``).  ``measured``
+fills them with one small aggregate; frames derived by filtering or aggregating have no more rows per key,
 so the same measured axis stays a valid upper bound for them and is passed along.
 """
 
@@ -30,6 +30,7 @@ class Axis:
     rows_per_task: int = 500_000
     widest: int | None = None
     n_keys: int | None = None
+    total: int | None = None
 
     def __post_init__(self):
         if not self.keys:
@@ -52,19 +53,22 @@ class Axis:
             return self
         row = (
             df.groupBy(*self.keys).count()
-            .agg(F.max("count").alias("widest"), F.count("*").alias("n_keys"))
+            .agg(F.max("count").alias("widest"), F.count("*").alias("n_keys"), F.sum("count").alias("total"))
             .first()
         )
-        return replace(self, widest=row["widest"] or 0, n_keys=row["n_keys"])
+        return replace(self, widest=row["widest"] or 0, n_keys=row["n_keys"], total=row["total"] or 0)
 
     def unmeasured(self) -> "Axis":
         """Forget the bounds, for a frame that may hold more rows than the measured one."""
-        return replace(self, widest=None, n_keys=None)
+        return replace(self, widest=None, n_keys=None, total=None)
 
     def by(self, *extra: str, groups: int | None = None) -> "Axis":
         """A finer axis: the same bounds hold, with up to ``groups`` values per key."""
-        n_keys = self.n_keys * groups if self.n_keys is not None and groups else None
-        return replace(self, keys=self.keys + extra, n_keys=n_keys)
+        known = self.n_keys is not None and groups
+        return replace(
+            self, keys=self.keys + extra, n_keys=self.n_keys * groups if known else None,
+            total=self.total * groups if known else self.total,
+        )
 
     def ordered_by(self, *order: str) -> "Axis":
         return replace(self, order=order)

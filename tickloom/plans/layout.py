@@ -13,6 +13,10 @@ from .axis import POS, Axis
 
 #: Largest table, in rows, that is broadcast. Beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows that one task of a range sort may take; more of them spill but still run.
+ROWS_PER_PIECE = 20_000_000
+
+_written: list[str] = []
 
 
 def shared_folder(spark) -> str:
@@ -35,10 +39,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_materialised(spark) -> int:
+    """Delete the tables this process wrote with ``materialise``, once their results are no longer read."""
+    count = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def attach(df: DataFrame, small: DataFrame, on: tuple[str, ...], rows: int | None) -> DataFrame:
     """Left join per-group values back onto rows, keeping rows with a missing key.
 
@@ -62,10 +76,8 @@ def number_rows(df: DataFrame, axis: Axis) -> DataFrame:
     """
     axis = axis.measured(df)
     spark = df.sparkSession
-    pieces = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        -(-axis.widest // axis.rows_per_task),
-    )
+    rows = axis.total if axis.total is not None else axis.widest
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PIECE))
     columns = [*axis.keys, *axis.order]
     sorted_rows = (
         df.repartitionByRange(pieces, *columns)
@@ -81,8 +93,9 @@ def number_rows(df: DataFrame, axis: Axis) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
+    bound = None if axis.n_keys is None else pieces + axis.n_keys
     return (
-        attach(tape, starts, on, rows=pieces + axis.n_keys)
+        attach(tape, starts, on, rows=bound)
         .withColumn(POS, F.col("_mid") - F.col("_first") + F.col("_before"))
         .drop("_mid", "_piece", "_first", "_before")
     )

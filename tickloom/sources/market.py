@@ -1,6 +1,7 @@
 """Market-shaped tables derived from the generic event and order tables.
 
-The bundled data has no quotes, so every column is a fixed function of an event. Prices sit on
+The bundled data has no quotes, so every column is a fixed function of an event; each table
+holds all of them (``dirty`` also late copies, ``trades`` some time after their quotes). Prices sit on
 a quarter-point grid, which is exact in binary, so price equality and at-mid tests are exact.
 The texts are plain SQL and are also what the checks run in another engine.
 """
@@ -41,14 +42,14 @@ SELECT event_type AS symbol, ts, event_id AS seq,
        CAST(0.25 * CAST(400 + floor(value / 10) + 1 + event_id % 3 AS INT) AS DOUBLE) AS ask_price,
        CAST(100 + (user_id * 37) % 900 AS BIGINT) AS bid_size,
        CAST(100 + (event_id * 7919) % 900 AS BIGINT) AS ask_size
-FROM events WHERE event_id % 5 < 3
+FROM events
 """
 
 TRADES_SQL = """
-SELECT event_type AS symbol, ts, event_id AS seq,
+SELECT event_type AS symbol, ts + (event_id % 7) * INTERVAL '150' SECOND AS ts, event_id AS seq,
        CAST(0.25 * CAST(400 + floor(value / 10) + event_id % 4 AS INT) AS DOUBLE) AS price,
        CAST(50 + (event_id * 31) % 450 AS BIGINT) AS volume
-FROM events WHERE event_id % 5 >= 3
+FROM events
 """
 
 ORDERS_SQL = """
