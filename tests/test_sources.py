@@ -21,7 +21,7 @@ def test_feature_file_round_trip(spark, folder, tmp_path):
 
 def test_bars_are_read_by_range(spark, folder, tmp_path):
     bars = sources.market_table(spark, folder, "daily").select(
-        "symbol", "date", *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], "volume"
+        "symbol", F.to_date("date").alias("date"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], "volume"
     )
     for fmt in ("csv", "parquet"):
         path = str(tmp_path / fmt)
@@ -51,3 +51,21 @@ def test_conform_renames_casts_and_clears_nan(spark):
     assert out.first().price is None and out.first().volume == 5
     with pytest.raises(ValueError, match="columns not found"):
         sources.conform(df, schemas.TRADES)
+
+
+def test_date_slice_reaches_the_scan(spark, folder):
+    from tickloom.operators import rows
+
+    events = spark.read.parquet(f"{folder}/events.parquet").select("ts", "event_id", "value")
+    plan = rows.between_dates(events, "ts", date(2024, 1, 3), date(2024, 1, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-03T00:00)" in plan and "LessThan(ts,2024-01-06T00:00)" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,value:double>" in plan
+
+
+def test_time_bars_combine_before_the_shuffle_without_a_sort(spark, folder):
+    from tickloom.operators import bars
+
+    ticks = sources.market_table(spark, folder, "trades")
+    plan = bars.time_bars(ticks, Axis(), "1 hour")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "HashAggregate" in plan
+    assert "SortAggregate" not in plan and "Sort [" not in plan

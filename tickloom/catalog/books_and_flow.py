@@ -213,10 +213,10 @@ def running_vwap(spark, folder):
 
 @query(over("ticks", f"""
 SELECT symbol, session_date, seq, {r('sum(trade_price * volume) OVER w / sum(volume) OVER w')} AS vwap
-FROM (SELECT *, CAST(ts AS DATE) AS session_date FROM ticks) WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts, seq)"""))
+FROM (SELECT *, date_trunc('day', ts) AS session_date FROM ticks) WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts, seq)"""))
 def session_vwap(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    d = df.withColumn("session_date", F.to_date("ts"))
+    d = df.withColumn("session_date", F.to_date("ts").cast("timestamp_ntz"))
     return rounded(trades.with_vwap(d, axis.by("session_date")).select("symbol", "session_date", "seq", "vwap"))
 
 

@@ -169,11 +169,15 @@ def bar_uniformity(spark, folder):
     return rounded(bars.bar_uniformity({"volume": (vb, "total_volume"), "time": (tb, "volume")}, axis))
 
 
-MONTHS = """SELECT symbol, last_day(m) AS month_end, coalesce(t, 0) AS total FROM
+MONTHS = """SELECT symbol, CAST(last_day(m) AS TIMESTAMP) AS month_end, coalesce(t, 0) AS total FROM
 (SELECT symbol, CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM mm GROUP BY symbol) LEFT JOIN mm USING (symbol, m)"""
 MONTHLY = "SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, sum(ret) AS t FROM x GROUP BY ALL"
 
 
+def _at_midnight(df, *dates):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in dates})
+
+
 def _monthly(spark, folder):
     df, axis = daily_returns(spark, folder)
     return bars.month_sums(df, axis), axis
@@ -181,7 +185,7 @@ def _monthly(spark, folder):
 
 @query(over("daily", f"SELECT symbol, month_end, {r('total')} AS total FROM mo", x=RET, mm=MONTHLY, mo=MONTHS))
 def month_sums(spark, folder):
-    return rounded(_monthly(spark, folder)[0])
+    return rounded(_at_midnight(_monthly(spark, folder)[0], "month_end"))
 
 
 @query(over("daily", f"""
@@ -189,7 +193,7 @@ SELECT symbol, first(month_end ORDER BY total, month_end) AS worst_month, {r('mi
        first(month_end ORDER BY total DESC, month_end) AS best_month, {r('max(total)')} AS best FROM mo GROUP BY symbol""", x=RET, mm=MONTHLY, mo=MONTHS))
 def month_extremes(spark, folder):
     months, axis = _monthly(spark, folder)
-    return rounded(bars.month_extremes(months, axis))
+    return rounded(_at_midnight(bars.month_extremes(months, axis), "worst_month", "best_month"))
 
 
 @query(over("ticks", f"""

@@ -31,15 +31,15 @@ def daily_returns(spark, folder):
 def csv_round_trip(spark, folder):
     df, _ = table(spark, folder, "daily")
     path = write_csv(df, _scratch(spark, "csv"))
-    return read_csv(spark, path, "symbol STRING, date DATE, close DOUBLE, volume BIGINT", date_format="yyyy-MM-dd")
+    return read_csv(spark, path, "symbol STRING, date TIMESTAMP_NTZ, close DOUBLE, volume BIGINT")
 
 
 @query(over("daily", "SELECT symbol, date, close FROM daily WHERE date >= DATE '1996-01-01' AND date < DATE '1999-01-01'"))
 def bars_in_date_range(spark, folder):
     df, _ = table(spark, folder, "daily")
     path = write_parquet(df, _scratch(spark, "bars"))
-    bars = spark.read.schema("symbol STRING, date DATE, close DOUBLE").parquet(path)
-    return bars.filter((F.col("date") >= F.lit(date(1996, 1, 1))) & (F.col("date") < F.lit(date(1999, 1, 1))))
+    bars = spark.read.schema("symbol STRING, date TIMESTAMP_NTZ, close DOUBLE").parquet(path)
+    return rows.between_dates(bars, "date", date(1996, 1, 1), date(1998, 12, 31))
 
 
 @query(over("ticks", """

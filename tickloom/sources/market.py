@@ -62,10 +62,10 @@ FROM events
 """
 
 DAILY_SQL = """
-SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date,
+SELECT o_orderpriority AS symbol, o_orderdate AS date,
        CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS DOUBLE) AS close,
        CAST(count(*) AS BIGINT) AS volume
-FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)
+FROM orders GROUP BY o_orderpriority, o_orderdate
 """
 
 STRATEGIES_SQL = """
