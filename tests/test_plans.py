@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators import clean
@@ -12,7 +11,7 @@ from tickloom.plans import (
     running, with_positions,
 )
 
-SCHEMA = "symbol string, ts timestamp_ntz, seq bigint, x bigint, y double"
+
 
 
 @pytest.fixture(scope="module")

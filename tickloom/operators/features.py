@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mid_price, queue_imbalance, quoted_spread, ratio, weighted_mid, zero_to_null
+from ..functions import queue_imbalance, quoted_spread, ratio, weighted_mid, zero_to_null
 from ..plans import (
     POS, Axis, TICKS, after, attach, before, change, lay_out, over_rows, rolling_mean, rolling_std, running,
     with_positions, with_rolling_sums,
