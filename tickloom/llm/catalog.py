@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, substring, tokens
+from . import jaccard, quality_model, substring, tokens
 from .shared import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = tokens.token_counts(parquet(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Label-model posterior, linear score and verdict of every document."""
+    out = quality_model.classify(parquet(spark, folder, "documents"))
+    return out.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
