@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality_model, substring, tokens
+from . import cascade, decontaminate, jaccard, mixing, pii, quality_model, sharding, substring, tokens, urls
 from .shared import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,48 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Label-model posterior, linear score and verdict of every document."""
     out = quality_model.classify(parquet(spark, folder, "documents"))
     return out.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
+
+
+@query()
+def op1_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty shards of near equal bytes, one per leaf of a K-d tree over the metadata."""
+    out = sharding.shard_slots(parquet(spark, folder, "documents"), 40)
+    return out.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Base list, then pattern rules, on every page's url."""
+    out = urls.filter_urls(parquet(spark, folder, "pages"))
+    return out.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base features and the verdict of the rule cascade."""
+    return cascade.apply_rules(parquet(spark, folder, "documents")).drop("rejected_by")
+
+
+@query()
+def op8_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot of every document's block in the mix of sources, as often as its source comes round."""
+    out = mixing.mix(parquet(spark, folder, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "epoch", "release", "deadline", "slot")])
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside passages of the benchmark."""
+    out = decontaminate.contamination(parquet(spark, folder, "documents"), parquet(spark, folder, "benchmark"))
+    n = F.size("items").cast("long").alias("n_items")
+    return out.select("doc_id", "n_words", "n_hit", n, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Key of the query only; a real corpus needs a secret one.
+SURROGATE_KEY = "tickloom demonstration key"
+
+
+@query()
+def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with every detected entity replaced by its surrogate."""
+    return pii.replace_entities(parquet(spark, folder, "documents"), SURROGATE_KEY)

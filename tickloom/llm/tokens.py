@@ -132,6 +132,19 @@ def _frequencies(head):
     return run
 
 
+def frequent(types: DataFrame, most: int) -> DataFrame:
+    """The most frequent short types, down to a frequency that at most ``most`` of them reach."""
+    short = types.where(F.octet_length("type") <= HEAD_BYTES).withColumn("level", F.floor(F.log2("n") * 16))
+    levels = sorted(((r["level"], r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)  # at most 16 x 64 rows
+    total, least = 0, None
+    for level, count in levels:
+        total += count
+        if total > most:
+            break
+        least = level
+    return short.where(F.lit(False) if least is None else F.col("level") >= least)
+
+
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_types: int = HEAD_TYPES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens. ``model`` is the file of a sentencepiece model.
 
@@ -144,8 +157,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     types = rows.select("text").mapInArrow(_types(TASK_TYPES), "type string, n long").groupBy("type").agg(F.sum("n").alias("n"))
     types = written(types.mapInArrow(_encode(model), "type string, n long, pieces long"), "types")
-    short = types.where(F.octet_length("type") <= HEAD_BYTES).select("type", "n", "pieces")
-    head = {r["type"]: r["pieces"] for r in short.orderBy(F.desc("n"), "type").limit(head_types).collect()}
+    head = {r["type"]: r["pieces"] for r in frequent(types, head_types).collect()}  # at most head_types short rows
     sent = spark.sparkContext.broadcast(head)
     own = rows.select("doc_id", "text", F.xxhash64("text").alias("doc_row")).mapInArrow(
         _frequencies(sent), "doc_row long, doc_id long, n_bytes long, settled long, type string, n long"
