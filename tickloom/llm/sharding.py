@@ -21,6 +21,8 @@ BIN_BITS = 16
 KEY_BITS = 62
 #: A split may be off by this part of a shard.
 TOLERANCE = 1e-4
+#: A row finds its shard by comparisons in one expression, which bounds the shards of one tree; cut a larger table into parts first.
+MAX_SHARDS = 4096
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
@@ -104,6 +106,8 @@ def _medians(rows: DataFrame, tree: KdTree, wanted: dict[int, tuple[str, int]],
 
 def build_tree(rows: DataFrame, n_shards: int) -> KdTree:
     """The tree over ``rows`` of ``points``; an empty table gives a tree without splits."""
+    if not 0 < n_shards <= MAX_SHARDS:
+        raise ValueError(f"a tree has between 1 and {MAX_SHARDS} shards")
     total, top = rows.agg(F.sum("_size"), F.max("_p_doc_id")).first()
     tree = KdTree(n_shards, max(0, int(top or 0).bit_length() - 31))
     if not total:
