@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, decontaminate, jaccard, mixing, pii, quality_model, sharding, substring, tokens, urls
+from . import cascade, decontaminate, jaccard, mixing, oracles, pii, quality_model, sharding, substring, tokens, urls
 from .shared import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,14 +24,14 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+@query(oracles.SUBSTRING)
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words in 50-word windows that a smaller document also holds are removed."""
     out = substring.remove_repeats(parquet(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query()
+@query(oracles.JACCARD)
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate group and number of links of every document."""
     return jaccard.similarity_groups(parquet(spark, folder, "documents"))
@@ -60,14 +60,14 @@ def op1_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query()
+@query(oracles.URL_FILTERS)
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Base list, then pattern rules, on every page's url."""
     out = urls.filter_urls(parquet(spark, folder, "pages"))
     return out.select("page_id", "host", "path", "rule", "pattern", "verdict")
 
 
-@query()
+@query(oracles.QUALITY_RULES)
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base features and the verdict of the rule cascade."""
     return cascade.apply_rules(parquet(spark, folder, "documents")).drop("rejected_by")
@@ -80,7 +80,7 @@ def op8_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "epoch", "release", "deadline", "slot")])
 
 
-@query()
+@query(oracles.DECONTAMINATION)
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside passages of the benchmark."""
     out = decontaminate.contamination(parquet(spark, folder, "documents"), parquet(spark, folder, "benchmark"))
