@@ -111,7 +111,7 @@ def test_order_book_read_only_sometimes(spark):
 
 
 def test_order_book_rejects_an_unknown_side(spark):
-    with pytest.raises(Exception, match="side must be"):
+    with pytest.raises(Exception, match="buy or the sell side"):
         orderbook.touch(book(spark, [("hold", 100.0, 1)])).collect()
 
 

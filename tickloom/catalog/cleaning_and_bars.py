@@ -169,6 +169,27 @@ def bar_uniformity(spark, folder):
     return rounded(bars.bar_uniformity({"volume": (vb, "total_volume"), "time": (tb, "volume")}, axis))
 
 
+GRID_BARS = {
+    "v": "SELECT *, CAST(floor(sum(volume) OVER (PARTITION BY symbol ORDER BY ts) / 500) AS BIGINT) AS bar_id FROM d",
+    "vb": "SELECT symbol, bar_id, CAST(sum(volume) AS BIGINT) AS volume FROM v GROUP BY ALL",
+    "tb": "SELECT symbol, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume FROM d GROUP BY symbol, time_bucket(INTERVAL '6 hours', ts) HAVING max(price) IS NOT NULL",
+}
+
+
+@query(over("dirty", f"""
+SELECT symbol, bar_type, {r('avg(volume)')} AS mean_volume, {r('stddev_samp(volume)')} AS std_volume,
+       {r('stddev_samp(volume) / avg(volume)')} AS cv, count(volume) AS n_bars
+FROM (SELECT symbol, 'volume' AS bar_type, volume FROM vb UNION ALL SELECT symbol, 'time', volume FROM tb) GROUP BY symbol, bar_type""",
+    u=UNIQUE, g=GOOD, f=FAIR, s=SPINE, d=GRID, **GRID_BARS))
+def clean_bars(spark, folder):
+    """Dirty ticks to a clean grid, to volume and time bars, to their uniformity; bars use the grid's own size."""
+    df, axis = table(spark, folder, "dirty")
+    grid = clean.clean_ticks(df, axis, step="1 hour", utc=False)[0]
+    axis = axis.measured(grid)
+    vb, tb = bars.volume_bars(grid, axis), bars.time_bars(grid, axis, "6 hours")
+    return rounded(bars.bar_uniformity({"volume": (vb, "total_volume"), "time": (tb, "volume")}, axis))
+
+
 MONTHS = """SELECT symbol, CAST(last_day(m) AS TIMESTAMP) AS month_end, coalesce(t, 0) AS total FROM
 (SELECT symbol, CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM mm GROUP BY symbol) LEFT JOIN mm USING (symbol, m)"""
 MONTHLY = "SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, sum(ret) AS t FROM x GROUP BY ALL"

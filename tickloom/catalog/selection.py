@@ -222,7 +222,7 @@ def appended_rows(spark, folder):
     return rows.append(q.select("symbol", "ts", "seq"), t.select("ts", "seq", "symbol"))
 
 
-@query()
+@query(over("ticks", "SELECT * FROM ticks ORDER BY md5(concat_ws('|', '42', symbol, CAST(seq AS VARCHAR))), symbol, seq LIMIT 100"))
 def fixed_sample(spark, folder):
     return rows.pick(table(spark, folder, "ticks")[0], 100, ["symbol", "seq"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import from_micros, interval_micros, micros
 from ..plans import Axis, TICKS, after, attach, before, over_rows, running
+from ..plans.axis import GROWN
 
 #: Longest run of grid points made from one array; a longer gap is split into several.
 GRID_SEGMENT = 86_400
@@ -22,11 +23,14 @@ def first_arrivals(df: DataFrame, axis: Axis = TICKS, copies: str | None = None)
     on = [*axis.keys, axis.ts]
     arrival = axis.order[1]
     rest = [c for c in df.columns if c not in on]
-    aggs = [F.min_by(F.struct(*rest), F.col(arrival)).alias("_row")]
-    if copies:
-        aggs.append(F.count("*").alias(copies))
-    kept = df.groupBy(*on).agg(*aggs).select(*on, "_row.*", *([copies] if copies else []))
-    return kept.select(*df.columns, *([copies] if copies else []))
+    counted = [F.count("*").alias(copies)] if copies else []
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    if not any(isinstance(df.schema[c].dataType, wide) for c in rest):
+        # column by column, a hash table can hold the state; a struct would make Spark sort all rows twice
+        aggs = [F.min(c).alias(c) if c == arrival else F.min_by(c, F.col(arrival)).alias(c) for c in rest]
+        return df.groupBy(*on).agg(*aggs, *counted).select(*df.columns, *([copies] if copies else []))
+    kept = df.groupBy(*on).agg(F.min_by(F.struct(*rest), F.col(arrival)).alias("_row"), *counted)
+    return kept.select(*on, "_row.*", *([copies] if copies else [])).select(*df.columns, *([copies] if copies else []))
 
 
 def regular_grid(df: DataFrame, axis: Axis = TICKS, step: str = "1 second") -> DataFrame:
@@ -61,7 +65,7 @@ def regular_grid(df: DataFrame, axis: Axis = TICKS, step: str = "1 second") -> D
     known = F.col("_point") >= here
     return spans.select(
         *axis.keys,
-        from_micros(F.col("_point")).alias(ts),
+        from_micros(F.col("_point")).alias(ts, metadata={GROWN: step}),
         *[F.when(known, F.col(c)).alias(c) for c in values],
     )
 
@@ -70,7 +74,7 @@ def to_utc(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Declare a zone-less wall clock to be UTC; a column that has a zone already is refused."""
     if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
         raise TypeError(f"{ts} is already zone-aware")
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withColumn(ts, F.col(ts).cast("timestamp").alias(ts, metadata=df.schema[ts].metadata))
 
 
 def clean_ticks(

@@ -53,8 +53,8 @@ def _feature_columns(price: str, volume: str):
 def compute_features(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume") -> DataFrame:
     """All sixteen features of a tick table, from one ordering of the rows."""
     axis = axis.measured(df)
-    d = with_vwap(lay_out(df, axis), axis, price, volume)
-    return over_rows(d, axis, _feature_columns(price, volume), back=60).drop(POS)
+    d = with_vwap(lay_out(df, axis), axis, price, volume, laid_out=True)
+    return over_rows(d, axis, _feature_columns(price, volume), back=60, laid_out=True).drop(POS)
 
 
 def add_targets_and_lags(
@@ -73,7 +73,7 @@ def add_targets_and_lags(
 def lagged_feature_table(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume") -> DataFrame:
     """``compute_features`` and ``add_targets_and_lags`` over one ordering of the rows."""
     axis = axis.measured(df)
-    d = with_vwap(lay_out(df, axis), axis, price, volume)
+    d = with_vwap(lay_out(df, axis), axis, price, volume, laid_out=True)
 
     def build(d, w):
         d = _feature_columns(price, volume)(d, w)
@@ -81,7 +81,7 @@ def lagged_feature_table(df: DataFrame, axis: Axis = TICKS, price="trade_price",
             {name: before(name, w) for name in FEATURES}
         )
 
-    return over_rows(d, axis, build, back=61, ahead=max(TARGETS.values())).drop(POS)
+    return over_rows(d, axis, build, back=61, ahead=max(TARGETS.values()), laid_out=True).drop(POS)
 
 
 def log_forward_returns(

@@ -72,7 +72,7 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, axis: Axis = TICK
     def solve(key, cells):
         g = cells.sort_values("cell")["value"].to_numpy().reshape(p + 2, p + 2)
         n, sums = g[0, 0], g[0, 1:]
-        centred = g[1:, 1:] - np.outer(sums, sums) / n
+        centred = g[1:, 1:] - np.outer(sums, sums) / max(n, 1)
         coef = np.linalg.solve(centred[:p, :p] + alpha * np.eye(p), centred[:p, p])
         intercept = (sums[p] - sums[:p] @ coef) / n
         return pd.DataFrame([[*key, float(intercept), coef.tolist()]], columns=[f.name for f in schema])
@@ -100,8 +100,9 @@ def ridge_baseline(
     )
     sizes = split.groupBy(*axis.keys).agg(F.count_if("is_train").alias("n_train"))
     keys = list(axis.keys)
-    return report.join(ic, keys).join(sizes, keys).select(
-        *keys, "oos_ic", (1 - F.try_divide("_sse", "_sst")).alias("oos_r2"), "n_train", "n_test"
+    # a key too short to be fitted or scored stays, with missing scores
+    return sizes.join(report, keys, "left").join(ic, keys, "left").select(
+        *keys, "oos_ic", (1 - F.try_divide("_sse", "_sst")).alias("oos_r2"), "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test")
     )
 
 

@@ -37,7 +37,7 @@ def normalize_features(
     positions over the number of known values.
     """
     if method not in METHODS:
-        raise ValueError(f"method must be one of {list(METHODS)}")
+        raise ValueError(f"unknown normalisation {method!r}: choose from {', '.join(METHODS)}")
     axis = axis.measured(df)
     if window is not None:
         if method == "rank" and window > SLOW_RANK_WINDOW:

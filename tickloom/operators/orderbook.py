@@ -6,8 +6,6 @@ whose size is zero still counts as the best one, and books may cross.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,47 +16,19 @@ from ..plans import Axis, TICKS, after, before, over_rows, running
 def touch(events: DataFrame, axis: Axis = TICKS) -> DataFrame:
     """Best bid and ask with their sizes after each event.
 
-    The best price is a running extreme. The size standing at it is a running sum of the
-    quantities of that (side, price) level, read at the time of the event: events and
-    look-ups are stacked per level, so hot levels split like any other large key.
+    The best price is a running extreme. A price that becomes the best was never seen before and, once passed, is never the
+    best again, so its size is the running sum of the quantities at that price while it is the best: one more window inside the same
+    keys, no look-up. A missing level changes nothing, and a missing quantity adds nothing.
     """
     axis = axis.measured(events)
-    side = F.col("side")
-    checked = events.withColumn(
-        "side",
-        F.when(side.isin("buy", "sell"), side).otherwise(
-            F.raise_error(F.concat(F.lit("side must be 'buy' or 'sell', got "), F.coalesce(side, F.lit("NULL"))))
-        ),
-    )
-    best = running(
-        checked, axis,
-        bid_price=("max", F.when(side == "buy", F.col("price"))),
-        ask_price=("min", F.when(side == "sell", F.col("price"))),
-    )
-    updates = checked.select(*axis.keys, *axis.order, "side", F.col("price").alias("_level"), F.lit(0).alias("_look"), "quantity")
-    looks = best.select(
-        *axis.keys, *axis.order,
-        F.explode(
-            F.array(
-                F.struct(F.lit("buy").alias("side"), F.col("bid_price").alias("_level")),
-                F.struct(F.lit("sell").alias("side"), F.col("ask_price").alias("_level")),
-            )
-        ).alias("_p"),
-    ).select(*axis.keys, *axis.order, "_p.*", F.lit(1).alias("_look"), F.lit(None).cast("bigint").alias("quantity"))
-    levels = Axis((*axis.keys, "side", "_level"), (*axis.order, "_look"), axis.rows_per_task)
-    if 3 * axis.widest <= axis.rows_per_task:
-        # an event adds one row and two look-ups, so no level can be wider than that
-        levels = replace(levels, widest=3 * axis.widest)
-    sizes = (
-        running(updates.unionByName(looks).filter(F.col("_level").isNotNull()), levels, _size=("sum", "quantity"))
-        .filter("_look = 1")
-        .groupBy(*axis.keys, *axis.order)
-        .agg(
-            F.max(F.when(side == "buy", F.col("_size"))).alias("bid_size"),
-            F.max(F.when(side == "sell", F.col("_size"))).alias("ask_size"),
-        )
-    )
-    return best.join(sizes, [*axis.keys, *axis.order], "left")
+    side, price = F.col("side"), F.col("price")
+    refused = F.concat(F.lit("an order is on the buy or the sell side, not "), F.coalesce(side, F.lit("NULL")))
+    checked = events.withColumn("side", F.when(side.isin("buy", "sell"), side).otherwise(F.raise_error(refused)))
+    best = running(checked, axis, bid_price=("max", F.when(side == "buy", price)), ask_price=("min", F.when(side == "sell", price)))
+    for name, on in (("bid", "buy"), ("ask", "sell")):
+        here = F.when((side == on) & (price == F.col(f"{name}_price")), F.col("quantity"))
+        best = running(best, axis.by(f"{name}_price"), **{f"{name}_size": ("sum", here)})
+    return best
 
 
 def touch_features(df: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def append(df: DataFrame, other: DataFrame) -> DataFrame:
 
 def pick(df: DataFrame, n: int, on: list[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows in a fixed pseudo-random order of the columns ``on``."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *on), *on).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in on])), *on).limit(n)
 
 
 def align(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -108,10 +108,10 @@ def with_returns(
     return over_rows(df, axis, build, back=1).drop("_px")
 
 
-def with_vwap(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume", out="vwap") -> DataFrame:
+def with_vwap(df: DataFrame, axis: Axis = TICKS, price="trade_price", volume="volume", out="vwap", laid_out: bool = False) -> DataFrame:
     """Volume-weighted price from the first row of the key; add a session key to restart it."""
     value = F.col(price) * F.col(volume)
-    d = running(df, axis, _pv=("sum", value), _v=("sum", volume))
+    d = running(df, axis, laid_out=laid_out, _pv=("sum", value), _v=("sum", volume))
     return d.withColumn(out, F.when(value.isNotNull(), ratio("_pv", "_v"))).drop("_pv", "_v")
 
 

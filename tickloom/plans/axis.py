@@ -7,7 +7,8 @@ which must be a total order, normally event time followed by an arrival number).
 An axis can also carry what is known about the size of the data: the row count of its
 largest key (``widest``), the number of keys (``n_keys``) and of rows (``total``).  ``measured``
 fills them with one small aggregate; frames derived by filtering or aggregating have no more rows per key,
-so the same measured axis stays a valid upper bound for them and is passed along.
+so the same measured axis stays a valid upper bound for them and is passed along. For what is derived from a
+regular grid, pass ``axis.measured(grid)``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POS = "_pos"
+#: Column metadata under which an operator that adds rows marks the time column of its result.
+GROWN = "tickloom.grown"
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,8 @@ class Axis:
     widest: int | None = None
     n_keys: int | None = None
     total: int | None = None
+    #: Mark of the table the bounds were measured on, if that one was made by adding rows.
+    grown: str | None = None
 
     def __post_init__(self):
         if not self.keys:
@@ -48,19 +53,24 @@ class Axis:
         return self.widest is not None and self.widest <= self.rows_per_task
 
     def measured(self, df: DataFrame) -> "Axis":
-        """Return the axis with the size bounds of ``df``; a no-op when they are known."""
-        if self.widest is not None:
+        """Return the axis with the size bounds of ``df``; a no-op when they are known.
+
+        A table that an operator has filled with new rows (a regular grid) is marked; bounds that were taken before are
+        not believed for it and are measured again.
+        """
+        mark = df.schema[self.ts].metadata.get(GROWN) if self.ts in df.columns else None
+        if self.widest is not None and mark in (None, self.grown):
             return self
         row = (
             df.groupBy(*self.keys).count()
             .agg(F.max("count").alias("widest"), F.count("*").alias("n_keys"), F.sum("count").alias("total"))
             .first()
         )
-        return replace(self, widest=row["widest"] or 0, n_keys=row["n_keys"], total=row["total"] or 0)
+        return replace(self, widest=row["widest"] or 0, n_keys=row["n_keys"], total=row["total"] or 0, grown=mark)
 
     def unmeasured(self) -> "Axis":
         """Forget the bounds, for a frame that may hold more rows than the measured one."""
-        return replace(self, widest=None, n_keys=None, total=None)
+        return replace(self, widest=None, n_keys=None, total=None, grown=None)
 
     def by(self, *extra: str, groups: int | None = None) -> "Axis":
         """A finer axis: the same bounds hold, with up to ``groups`` values per key."""

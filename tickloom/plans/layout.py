@@ -24,7 +24,7 @@ def shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="tickloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -102,16 +102,19 @@ def number_rows(df: DataFrame, axis: Axis) -> DataFrame:
 
 
 def lay_out(df: DataFrame, axis: Axis) -> DataFrame:
-    """Number the rows once, ahead of several ordered steps, if any key is too large."""
+    """Number the rows once, ahead of several ordered steps, if any key is too large.
+
+    Pass ``laid_out=True`` to those steps. It holds only until rows are filtered: numbers with holes would cut
+    runs and their edges in the wrong places, so steps without the flag number the rows again.
+    """
     axis = axis.measured(df)
-    return df if axis.fits or POS in df.columns else number_rows(df, axis)
+    return df.drop(POS) if axis.fits else number_rows(df.drop(POS), axis)
 
 
 def with_positions(df: DataFrame, axis: Axis) -> DataFrame:
     """Add ``_pos`` by whichever way the measured key sizes allow."""
     axis = axis.measured(df)
-    if POS in df.columns:
-        return df
+    df = df.drop(POS)
     if axis.fits:
         return df.withColumn(POS, (F.row_number().over(axis.window()) - 1).cast("bigint"))
     return number_rows(df, axis)

@@ -12,6 +12,10 @@ from .layout import BROADCAST_ROWS, attach, materialise
 from .running import running
 
 
+#: Places over which the rows of a frequent value are spread where frequent values are too many to broadcast.
+COPIES = 64
+
+
 def value_counts_upto(df: DataFrame, axis: Axis, x: str) -> DataFrame:
     """One row per distinct value of ``x`` in a key: its count and the count of values up to it."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*axis.keys, x).agg(F.count("*").alias("_same"))
@@ -23,20 +27,23 @@ def _ranked_by_join(df: DataFrame, axis: Axis, x: str, name: str) -> DataFrame:
         *axis.keys, x, "_same", (F.col("_upto") - (F.col("_same") - 1) / 2).alias(name)
     )
     on = [*axis.keys, x]
-    # A value with more rows than a task should hold is broadcast: there are at most
-    # rows / rows_per_task of those. The rest are spread evenly enough for a shuffle join.
+    # A value with more rows than a task should hold would put them all in one task of a shuffle join. There are
+    # at most rows / rows_per_task of those values: they are broadcast, or, if even they are many, met in COPIES places.
+    rows = axis.total if axis.total is not None else axis.widest * axis.n_keys
     often = ranks.filter(F.col("_same") > axis.rows_per_task).drop("_same")
     seldom = ranks.filter(F.col("_same") <= axis.rows_per_task).drop("_same")
-    if axis.n_keys is None or axis.widest * axis.n_keys > axis.rows_per_task * BROADCAST_ROWS:
-        return df.filter(F.col(x).isNotNull()).join(ranks.drop("_same"), on).unionByName(
-            df.filter(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double"))
-        )
     known = df.filter(F.col(x).isNotNull())
-    return (
-        known.join(F.broadcast(often), on)
-        .unionByName(known.join(F.broadcast(often), on, "left_anti").join(seldom, on), allowMissingColumns=True)
-        .unionByName(df.filter(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
-    )
+    if rows <= axis.rows_per_task * BROADCAST_ROWS:
+        hot, rest = known.join(F.broadcast(often), on), known.join(F.broadcast(often), on, "left_anti")
+        found = hot.unionByName(rest.join(seldom, on), allowMissingColumns=True)
+    else:
+        place = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+        both = seldom.withColumn("_copy", F.lit(-1)).unionByName(often.withColumn("_copy", place))
+        salted = known.withColumn("_any", F.pmod(F.xxhash64(*axis.keys, *axis.order), F.lit(COPIES)).cast("int"))
+        # each row asks once for its value as a seldom one and once, in its own place, as a frequent one
+        asked = salted.withColumn("_copy", F.explode(F.array(F.lit(-1), F.col("_any"))))
+        found = asked.join(both, [*on, "_copy"]).drop("_any", "_copy").select(*df.columns, name)
+    return found.unionByName(df.filter(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def average_rank(df: DataFrame, axis: Axis, **ranks: str) -> DataFrame:

@@ -19,6 +19,7 @@ def over_rows(
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     back: int = 0,
     ahead: int = 0,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Run ``build(df, window)``, whose columns look at most ``back`` rows behind and
     ``ahead`` rows in front of their own row, counted over all the steps inside it.
@@ -26,13 +27,14 @@ def over_rows(
     ``build`` may only add or replace columns. When the largest key fits in one task the window is a plain
     per-key one. Otherwise each key is cut into runs of equal row count; the rows at the
     edges of a run are copied into its neighbour, the window runs per (key, run), and the
-    copies are dropped, so the values are those of the plain window.
+    copies are dropped, so the values are those of the plain window. ``laid_out`` says that ``df`` comes
+    from ``lay_out`` with no row taken out since; otherwise rows are numbered anew.
     """
     axis = axis.measured(df)
-    laid_out = POS in df.columns
+    laid_out = laid_out and POS in df.columns
     if axis.fits and not laid_out:
         return build(df, axis.window())
-    rows = df if laid_out else number_rows(df, axis)
+    rows = df if laid_out else number_rows(df.drop(POS), axis)
     size = max(axis.rows_per_task, back, ahead, 1)
     home, slot = F.expr(f"{POS} div {size}L"), F.expr(f"{POS} % {size}L")
     runs = F.array_compact(

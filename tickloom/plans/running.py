@@ -26,23 +26,24 @@ def _aggregate(kind: str, x: Column, at: Column, frame=None) -> Column:
     return F.last(x, ignorenulls=True).over(frame)
 
 
-def running(df: DataFrame, axis: Axis, **specs: tuple[str, Column | str]) -> DataFrame:
+def running(df: DataFrame, axis: Axis, *, laid_out: bool = False, **specs: tuple[str, Column | str]) -> DataFrame:
     """Add ``name = (kind, value)`` columns accumulated over all rows up to the current one.
 
     ``kind`` is ``sum``, ``product``, ``min``, ``max`` or ``last`` (last known value). Missing
     values are skipped. A key that fits in one task uses a plain cumulative window. A larger
     one is done in two passes: totals of each run of rows and a small window over those totals,
-    then a running value inside each run that starts from what the earlier runs left.
+    then a running value inside each run that starts from what the earlier runs left. ``laid_out`` says that ``df``
+    comes from ``lay_out`` with no row taken out since; otherwise rows are numbered anew.
     """
     axis = axis.measured(df)
-    laid_out = POS in df.columns
+    laid_out = laid_out and POS in df.columns
     values = {f"_in_{n}": F.col(v) if isinstance(v, str) else v for n, (_, v) in specs.items()}
     if axis.fits and not laid_out:
         upto = axis.window().rowsBetween(W.unboundedPreceding, 0)
         added = {n: _aggregate(kind, F.col(f"_in_{n}"), F.lit(0), upto) for n, (kind, _) in specs.items()}
         return df.withColumns(values).withColumns(added).drop(*values)
 
-    rows = (df if laid_out else number_rows(df, axis)).withColumns(values)
+    rows = (df if laid_out else number_rows(df.drop(POS), axis)).withColumns(values)
     rows = rows.withColumn("_run", F.expr(f"{POS} div {axis.rows_per_task}L"))
     totals = rows.groupBy(*axis.keys, "_run").agg(
         *[_aggregate(kind, F.col(f"_in_{n}"), F.col(POS)).alias(f"_in_{n}") for n, (kind, _) in specs.items()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,16 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str, date_format:
     return nan_to_null(reader.schema(schema).csv(path))
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(*paths))
+def read_parquet(spark: SparkSession, *paths: str, where: str | Column | None = None) -> DataFrame:
+    """Parquet with NaN as NULL. ``where`` is applied to the stored columns first, so that the scan can skip by it.
+
+    A comparison with a NaN column counts NaN as larger than any number; such rows are taken out again afterwards by the
+    same condition, where NULL meets none.
+    """
+    df = spark.read.parquet(*paths)
+    if where is None:
+        return nan_to_null(df)
+    return nan_to_null(df.filter(where)).filter(where)
 
 
 def read_bars(

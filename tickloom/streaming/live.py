@@ -49,9 +49,13 @@ def zoned(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def clean_stream(df: DataFrame, delay: str = "10 minutes", price: str = "price", keys=("symbol",), ts: str = "ts") -> DataFrame:
-    """One row per key and time stamp, bad prices removed."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts]).filter(F.col(price) > 0)
+def clean_stream(
+    df: DataFrame, delay: str = "10 minutes", price: str = "price", keys=("symbol",), ts: str = "ts", seq: str = "seq",
+) -> DataFrame:
+    """The first arrival (lowest ``seq``) per key and time stamp, once the watermark has passed it, bad prices removed."""
+    rest = [c for c in df.columns if c not in (*keys, ts)]
+    first = df.withWatermark(ts, delay).groupBy(*keys, ts).agg(*[F.min_by(c, F.col(seq)).alias(c) for c in rest])
+    return first.select(*df.columns).filter(F.col(price) > 0)
 
 
 def bar_stream(

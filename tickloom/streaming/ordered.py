@@ -107,13 +107,16 @@ class OfiProcessor(OrderedProcessor):
 
 
 class BookProcessor(OrderedProcessor):
-    """State: the size of every (side, price) level and the touch as last read."""
+    """State: the touch as last read.
+
+    A price that becomes the best was never seen before, so its size starts with the event that made it the best and no
+    other level is needed. A missing price changes nothing and a missing quantity adds nothing.
+    """
 
     waiting = "us bigint, seq bigint, side string, price double, quantity bigint, is_seed boolean"
     names = ["symbol", "ts", "seq", "bid_price", "ask_price", "bid_size", "ask_size", "ofi"]
 
     def open_state(self, handle):
-        self.levels = handle.getMapState("levels", "side string, price double", "size bigint")
         self.touch = handle.getValueState("touch", "bid_price double, ask_price double, bid_size bigint, ask_size bigint")
 
     def advance(self, key, rows):
@@ -122,24 +125,31 @@ class BookProcessor(OrderedProcessor):
         for ts, seq, side, price, quantity, is_seed in rows:
             before = (bid, ask, bid_size, ask_size)
             if side not in ("buy", "sell"):
-                raise ValueError(f"side must be 'buy' or 'sell', got {side!r}")
-            level = (side, price)
-            size = quantity + (self.levels.getValue(level)[0] if self.levels.containsKey(level) else 0)
-            self.levels.updateValue(level, (size,))
-            if side == "buy" and (bid is None or price >= bid):
-                bid, bid_size = price, size
-            if side == "sell" and (ask is None or price <= ask):
-                ask, ask_size = price, size
+                raise ValueError(f"an order is on the buy or the sell side, not {side!r}")
+            if price is not None and side == "buy":
+                if bid is None or price > bid:
+                    bid, bid_size = price, quantity
+                elif price == bid and quantity is not None:
+                    bid_size = (bid_size or 0) + quantity
+            if price is not None and side == "sell":
+                if ask is None or price < ask:
+                    ask, ask_size = price, quantity
+                elif price == ask and quantity is not None:
+                    ask_size = (ask_size or 0) + quantity
             if not is_seed:
-                flow = None
-                if bid_size is not None and ask_size is not None:
-                    up = bid_size - (before[2] if bid == before[0] else 0)
-                    down = ask_size - (before[3] if ask == before[1] else 0)
-                    flow = up - down
-                out.append((key, ts, seq, bid, ask, bid_size, ask_size, flow))
+                up = self._change(bid, bid_size, before[0], before[2])
+                down = self._change(ask, ask_size, before[1], before[3])
+                out.append((key, ts, seq, bid, ask, bid_size, ask_size, None if up is None or down is None else up - down))
         self.touch.update((bid, ask, bid_size, ask_size))
         return out
 
+    @staticmethod
+    def _change(price, size, was, was_size):
+        """The whole queue where the best price moved, else the change of its size."""
+        if price is None or was is None or price != was:
+            return size
+        return None if size is None or was_size is None else size - was_size
+
 
 class VolumeBarProcessor(OrderedProcessor):
     """State: volume traded so far and the bar that is still open."""
