@@ -1,4 +1,4 @@
-from . import books_and_flow, cleaning_and_bars, selection, statistics, tables_and_targets, windows
+from . import books_and_flow, cleaning_and_bars, selection, sources_and_streams, statistics, tables_and_targets, windows
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
