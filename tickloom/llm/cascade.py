@@ -101,7 +101,7 @@ def rules() -> dict[str, Column]:
         "word_length_short": F.col("word_chars") < 3 * n,
         "word_length_long": F.col("word_chars") > 12 * n,
         "symbols": _share(F.col("n_symbols"), n, 10),
-        "repeated_lines": _share(F.col("n_dup_lines"), F.size(lines), 30),
+        "repeated_lines": _share(F.col("n_dup_lines"), F.size(lines), 40),
         "ellipsis_lines": _share(F.size(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)$"))), F.size(lines), 30),
         "bullet_lines": _share(F.size(F.filter(lines, lambda x: x.rlike("^[\\x20\\x09]*[-*•]"))), F.size(lines), 90),
         "few_letters": 100 * F.regexp_count("text", F.lit("[A-Za-z\\x{80}-\\x{10FFFF}]")) < 80 * F.col("word_chars"),

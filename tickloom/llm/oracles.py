@@ -60,7 +60,7 @@ base AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 100 * n_symbols > 10 * n_words
-    OR 100 * n_dup_lines > 30 * len(lines)
+    OR 100 * n_dup_lines > 40 * len(lines)
     OR 100 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)$'))) > 30 * len(lines)
     OR 100 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 90 * len(lines)
     OR 100 * len(regexp_extract_all(text, '[A-Za-z\x{{80}}-\x{{10FFFF}}]')) < 80 * word_chars
