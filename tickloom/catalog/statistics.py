@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, models, ofi, stats
-from ..plans import Axis, quantiles
+from ..operators import features, models, ofi, stats, validate
+from ..plans import Axis, materialise, quantiles
 from .base import W, WD, over, query, r, rounded, student_tail, table
 from .cleaning_and_bars import SIGNALS, ofi_signals
 from .selection import RET, SIZE_OFI, daily_returns
-from .tables_and_targets import WHOLE_STEPS
+from .tables_and_targets import INVARIANTS, LAGGED_STEPS, WHOLE_STEPS
 
 PAIR = """SELECT a.date, a.ret AS x, b.ret AS y FROM (SELECT * FROM x WHERE symbol = '1-URGENT') a
 FULL JOIN (SELECT * FROM x WHERE symbol = '2-HIGH') b ON a.date = b.date"""
@@ -226,9 +226,13 @@ def tick_information_coefficient(spark, folder):
     return rounded(stats.rank_ic(d, axis, "ofi", "forward_return").select("symbol", "ic", "n_obs"))
 
 
-@query(over("ticks", " UNION ALL ".join(
+_IC = " UNION ALL ".join(
     f"SELECT symbol, '{c}' AS feature, {r('corr(rx, ry)', 4)} AS ic, count(*) AS n_obs FROM (SELECT symbol, {avg_rank(f'round({c}, 12)', 'symbol')} AS rx, {avg_rank('round(ret_1m, 12)', 'symbol')} AS ry FROM whole) GROUP BY symbol"
-    for c in features.FEATURES), **WHOLE_STEPS))
+    for c in features.FEATURES
+)
+
+
+@query(over("ticks", _IC, **WHOLE_STEPS))
 def feature_information_coefficients(spark, folder):
     df, axis = table(spark, folder, "ticks")
     d = features.lagged_feature_table(df, axis)
@@ -262,6 +266,22 @@ def price_and_return_unit_roots(spark, folder):
     return rounded(both, 4)
 
 
+_BROKEN = " UNION ALL ".join(f"SELECT symbol, {v} AS violations FROM lagged GROUP BY symbol" for v in INVARIANTS.values())
+
+
+@query(over("ticks", f"""
+SELECT symbol, feature, ic, n_obs, violations, violations = 0 AS passed FROM ({_IC})
+JOIN (SELECT symbol, CAST(sum(violations) AS BIGINT) AS violations FROM ({_BROKEN}) GROUP BY symbol) USING (symbol)""", **(LAGGED_STEPS | WHOLE_STEPS)))
+def feature_pipeline(spark, folder):
+    """Features, targets and lags once; their invariants; the rank IC of each feature, with the violations of its symbol."""
+    df, axis = table(spark, folder, "ticks")
+    lagged = materialise(features.lagged_feature_table(df, axis))
+    broken = validate.feature_invariants(lagged, axis).groupBy("symbol").agg(F.sum("violations").alias("violations"))
+    d = lagged.withColumns({c: F.round(c, 12) for c in (*features.FEATURES, "ret_1m")})
+    ic = rounded(stats.feature_ic(d, list(features.FEATURES), axis), 4)
+    return ic.join(broken, "symbol").withColumn("passed", F.col("violations") == 0)
+
+
 @query()
 def ridge_baseline(spark, folder):
     df, axis = table(spark, folder, "ticks")

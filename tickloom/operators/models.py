@@ -12,13 +12,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import unit_root_p
-from ..plans import Axis, TICKS, attach, materialise, over_rows, trailing
+from ..plans import Axis, TICKS, attach, average_rank, materialise, over_rows, trailing
 from .features import chronological_split
-from .normalize import standardise_on_train
 from .stats import rank_ic
 
 #: Matrices a task holds before it emits them.
@@ -80,31 +80,91 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, axis: Axis = TICK
     return cells.groupBy(*axis.keys).applyInPandas(solve, schema)
 
 
+def _moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``n``, sums and products (upper triangle, row by row) of the columns per group, in one aggregate."""
+    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)]
+    products = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"_p{k}") for k, (i, j) in enumerate(cells)]
+    added = df.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products)
+    return added.select(
+        *by, "n", F.array(*[f"_s{i}" for i in range(len(columns))]).alias("sums"), F.array(*[f"_p{k}" for k in range(len(cells))]).alias("products")
+    )
+
+
+def _square(products, p: int) -> np.ndarray:
+    full = np.zeros((p, p))
+    full[np.triu_indices(p)] = products
+    return full + np.triu(full, 1).T
+
+
+def _split_and_centred(df: DataFrame, columns: list[str], axis: Axis, train: float) -> DataFrame:
+    """``is_train`` and each column less its mean over the key."""
+    if axis.fits:
+        every = axis.window().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        first = F.row_number().over(axis.window()) <= F.floor(F.lit(train) * F.count("*").over(every))
+        return df.withColumns({"is_train": first, **{c: F.col(c) - F.avg(c).over(every) for c in columns}})
+    means = df.groupBy(*axis.keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    split = attach(chronological_split(df, axis, train), means, axis.keys, axis.n_keys)
+    return split.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+
+
 def ridge_baseline(
     df: DataFrame, features: list[str], axis: Axis = TICKS, target: str = "ret_1m", train: float = 0.7, alpha: float = 1.0,
 ) -> DataFrame:
-    """Fit on the first rows of each key, report rank IC and R² on the rest."""
+    """Fit on the first rows of each key, scaled by their mean and population std; report rank IC and R² on the rest.
+
+    One aggregate of sums and products per (key, split) holds all that scaling, fit and R² need; a second pass over the
+    test rows gives the rank IC. A key too short to be fitted or scored stays in the report with missing scores.
+    """
     axis = axis.measured(df)
-    # the fit, the scaling and the scores each read these rows: compute them once
-    whole = materialise(df.select(*axis.keys, *axis.order, *features, target).na.drop("any"))
-    split = chronological_split(whole, axis, train)
-    scaled = standardise_on_train(split, list(features), axis)
-    fit = ridge_fit(scaled.filter("is_train"), list(features), target, axis, alpha)
-    test = attach(scaled.filter("NOT is_train"), fit, axis.keys, axis.n_keys)
-    guess = sum((F.col(c) * F.col("coef")[i] for i, c in enumerate(features)), F.col("intercept"))
-    scored = test.withColumn("prediction", guess)
-    ic = rank_ic(scored, axis, "prediction", target).select(*axis.keys, F.col("ic").alias("oos_ic"))
-    error = F.col(target) - F.col("prediction")
-    report = scored.groupBy(*axis.keys).agg(
-        F.sum(error * error).alias("_sse"), (F.var_pop(target) * F.count(target)).alias("_sst"), F.count("*").alias("n_test")
-    )
-    sizes = split.groupBy(*axis.keys).agg(F.count_if("is_train").alias("n_train"))
-    keys = list(axis.keys)
-    # a key too short to be fitted or scored stays, with missing scores
-    return sizes.join(report, keys, "left").join(ic, keys, "left").select(
-        *keys, "oos_ic", (1 - F.try_divide("_sse", "_sst")).alias("oos_r2"), "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test")
+    columns, keys, p = [*features, target], list(axis.keys), len(features)
+    whole = df.select(*keys, *axis.order, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
+    # both passes read these rows: from one exchange where keys are small, from a written table where they are split
+    d = _split_and_centred(whole.repartition(*keys) if axis.fits else materialise(whole), columns, axis, train)
+    moments = _moments(d, [*keys, "is_train"], columns)
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType(
+        [
+            *fields, T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
+            T.StructField("oos_r2", T.DoubleType()), T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
+        ]
     )
 
+    def solve(key, parts):
+        sides = {bool(r["is_train"]): (r["n"], np.array(r["sums"]), _square(r["products"], p + 1)) for _, r in parts.iterrows()}
+        blank = (0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
+        (n, sums, g), (n_test, test, gt) = sides.get(True, blank), sides.get(False, blank)
+        if not n:
+            return pd.DataFrame([[*key, None, None, None, 0, n_test]], columns=schema.names)
+        mean = sums / n
+        centred = g - n * np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(centred)[:p] / n, 0))
+        # what is left of a constant column is rounding
+        scale[scale <= 1e-12 * np.sqrt(np.maximum(np.diag(g)[:p] / n, 1e-300))] = 0
+        scale[scale == 0] = 1
+        w = np.linalg.solve(centred[:p, :p] / np.outer(scale, scale) + alpha * np.eye(p), centred[:p, p] / scale) / scale
+        intercept = mean[p] - w @ mean[:p]
+        r2 = None
+        if n_test:
+            row = np.append(-w, 1.0)
+            sse = row @ gt @ row - 2 * intercept * (row @ test) + n_test * intercept**2
+            sst = gt[p, p] - test[p] ** 2 / n_test
+            r2 = float(1 - sse / sst) if sst > 1e-14 * max(gt[p, p], 1e-300) else None
+        return pd.DataFrame([[*key, float(intercept), w.tolist(), r2, n, n_test]], columns=schema.names)
+
+    fit, test = moments.groupBy(*keys).applyInPandas(solve, schema), d.filter("NOT is_train")
+    guess = sum((F.col(c) * F.col("coef")[i] for i, c in enumerate(features)), F.col("intercept"))
+    scores = ["oos_r2", "n_train", "n_test"]
+    if axis.fits:
+        # rows stay where they are, each key meets its fit there, and a key without test rows comes along
+        met = fit.join(test, keys, "left").withColumn("prediction", guess)
+        ranked = average_rank(met.select(*keys, *scores, "prediction", target), axis, _rx="prediction", _ry=target)
+        return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("oos_ic"), *[F.first(c).alias(c) for c in scores])
+    fit = materialise(fit)
+    met = attach(test, fit.select(*keys, "intercept", "coef"), axis.keys, axis.n_keys).withColumn("prediction", guess)
+    ic = rank_ic(met, axis, "prediction", target).select(*keys, F.col("ic").alias("oos_ic"))
+    return fit.join(ic, keys, "left").select(*keys, "oos_ic", *scores)
+
 
 def _longest_lag(n: int) -> int:
     return max(min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)), 0)
