@@ -125,7 +125,7 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert re.search(r"Host 10\.\d+\.\d+\.\d+ and (?!10\.)\d+\.\d+\.\d+\.\d+", new)
     m = re.search(r"Mr\. (\w+) met (\w+) (\w+) and (\w+) (\w+)\.", new)
     assert m[1] == m[3] and m[1][0].isupper() and m[2] in pii.GIVEN["f", "latin"] and m[4] in pii.GIVEN["f", "cyrillic"] and re.fullmatch("[а-яА-Я]+", m[5])
-    assert out[1]["n_entities"] == len(out[1]["kinds"]) == 16
+    assert out[1]["n_entities"] == len(out[1]["kinds"]) == 17
     assert replaced(spark, [(1, PRIVATE)], "other key")[1]["text"] != new
 
 
