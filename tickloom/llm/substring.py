@@ -127,7 +127,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     blocks = written(reference_blocks(rows, window=window, anchor=anchor), "blocks")
     index = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    known = index.join(shared.select("anchor", "variants"), "anchor")
+    known = written(index.join(shared.select("anchor", "variants"), "anchor"), "known")
     met = written(
         blocks.join(known, ["anchor", "block"]).where("first < doc_id OR variants > 1")
         .select("doc_id", "anchor", "start", "n_windows", "first"),
@@ -139,7 +139,9 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         rows.join(edges, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_window_rows(window), "doc_id long, anchor long, mark long, start int"),
         "windows",
     )
+    # written, so that the join has two plain exchanges and a window that very many blocks hold can be split
     firsts = windows.groupBy("anchor", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = written(firsts, "firsts")
     edge = windows.join(firsts, ["anchor", "mark"]).where("first < doc_id").select("doc_id", "start", F.lit(window).alias("n_words"), F.col("first").alias("source_id"), F.lit("edge").alias("kind"))
     return whole.unionByName(edge)
 
