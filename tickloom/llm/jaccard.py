@@ -31,6 +31,8 @@ RECALL = 0.9999
 MAX_HASHES = 128
 #: Documents of a component compared at once; a larger component is compared block by block.
 BLOCK = 192
+#: Bytes of text that a block holds on average at most; components of very long documents have smaller blocks.
+BLOCK_BYTES = 8 << 20
 #: n-grams compared at once.
 COLUMNS = 1 << 14
 
@@ -62,7 +64,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(n: int, bands: int, rows: int):
-    names = ["doc_id", "key1", "key2", "bands"]
+    names = ["doc_id", "key1", "key2", "size", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(8128))
@@ -87,7 +89,8 @@ def _signatures(n: int, bands: int, rows: int):
             ids = batch.column("doc_id").take(pa.array(at))
             keys = [signed(Prefix(h).run(w.first[at], w.first[at + 1])) for h in (w.hash, mix(w.hash))]
             lists = pa.ListArray.from_arrays(np.arange(0, len(head) * bands + 1, bands, dtype=np.int32), signed(out.ravel()))
-            yield pa.record_batch([ids, *keys, lists], names=names).filter(ids.is_valid())
+            size = pa.array(np.fromiter(map(len, texts), np.int64, len(texts))[at])
+            yield pa.record_batch([ids, *keys, size, lists], names=names).filter(ids.is_valid())
 
     return run
 
@@ -177,7 +180,7 @@ def _verify(n: int, threshold: Fraction):
 def similarity_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
-    """One row per document id: doc_id, class_id, n_links, copy_id, n_words_known.
+    """One row per document id: doc_id, class_id, n_links, copy_id.
 
     ``class_id`` is the smallest document of its near-duplicate group, ``copy_id`` the smallest document with the same
     words, and ``n_links`` the number of other rows with similarity ``threshold`` or more, copies included. A text
@@ -187,17 +190,20 @@ def similarity_groups(
     """
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    known = written(source.mapInArrow(_signatures(n, bands, rows), "doc_id long, key1 long, key2 long, bands array<long>"), "signatures")
-    classes = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"))
-    member = written(known.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "copy_id", "copies").distinct(), "members")
-    first = member.where("doc_id = copy_id").select("doc_id", "copies")
-    bucket = written(known.join(first, "doc_id").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
+    known = written(source.mapInArrow(_signatures(n, bands, rows), "doc_id long, key1 long, key2 long, size long, bands array<long>"), "signatures")
+    classes = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+    # written, so that the join has two plain exchanges and a class of very many copies can be split
+    classes = written(classes, "classes")
+    member = written(known.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "copy_id", "copies", classes["size"]).distinct(), "members")
+    first = member.where("doc_id = copy_id").select("doc_id", "copies", "size")
+    bucket = written(known.join(first.select("doc_id"), "doc_id").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
     hubs = bucket.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
     stars = bucket.join(hubs, "bucket").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     label = components(stars)
-    sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    label = label.join(first.withColumnRenamed("doc_id", "node"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
     placed = (
-        label.join(sizes, "label").join(first.withColumnRenamed("doc_id", "node"), "node")
+        label.join(label.groupBy("label").agg(blocks.alias("n_blocks")), "label")
         .select(F.col("node").alias("doc_id"), F.col("label").alias("component"), "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
     )
     tasks = (
