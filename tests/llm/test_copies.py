@@ -107,6 +107,14 @@ def test_large_component_is_compared_by_blocks(spark, monkeypatch):
     assert got == groups(texts)
 
 
+def test_blocks_without_documents(spark, monkeypatch):
+    """Pairs and threes of long near copies in as many blocks as documents, some of them empty: a link counts once."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    texts = [(10 * g + k, " ".join([f"w{g}x{i}" for i in range(300)] + [f"end{k}"])) for g in range(8) for k in range(2 + g % 2)]
+    got = jaccard.similarity_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == groups(texts)
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.8, 0.95), (0.5, 0.9)):
         bands, rows = jaccard.choose_bands(threshold, recall)
