@@ -44,8 +44,9 @@ PATTERNS = {
     "surname": rf"(?=\p{{Lu}})(?<=\s)(?<=(?<!\p{{L}})(?:{_TITLES})\.?\s)\p{{Lu}}\p{{L}}+|(?=\p{{Lu}})(?<=\s)(?<=(?<!\p{{L}})(?:{_NAMES})\s)\p{{Lu}}\p{{L}}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text must have for any pattern to fit: one of these characters, or a title or given name before a capital.
-CHARACTER_HINT = "[0-9@=:\"]"
+#: What a text must have for any pattern to fit: one of these characters, the start of a key, a run of hexadecimal letters, or a
+#: title or given name before a capital.
+CHARACTER_HINT = "[0-9@=:\"]|AKIA|[a-f]{40}"
 NAME_HINT = rf"(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.?\s\p{{Lu}}"
 #: Of the names, only given ones are in a list; a title before one leaves it a given name.
 _FULL = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ip", "ssn")}
