@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm import jaccard, sharding, substring
 from tickloom.llm.catalog import QUERIES
@@ -157,6 +158,13 @@ def test_equal_rows_are_split_evenly_by_their_ids(spark):
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 4
 
 
+def test_a_level_of_very_many_nodes(spark):
+    """More shards than one expression could name: 6,000 of 12,000 equal texts, two rows each."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    sizes = [r["count"] for r in sharding.with_shards(docs, 6000).groupBy("shard").count().collect()]
+    assert len(sizes) == 6000 and max(sizes) <= 3
+
+
 def test_sharding_edge_cases(spark, nasty, empty, tmp_path):
     out = sharding.shard_slots(nasty, 3).collect()
     assert len(out) == nasty.count() and {r["shard"] for r in out} <= {0, 1, 2}

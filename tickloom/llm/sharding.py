@@ -3,12 +3,14 @@
 Every row is a point in metadata space (source, language, size, id), with its bytes as weight. A node of the tree that is to
 hold k shards splits along its widest dimension, where its bytes divide as k // 2 to the rest. All nodes of a level
 are split together: one aggregate finds their extents, and a few rounds of histograms over (node, bin) close in on the
-weighted medians. Only the tree, one split per shard, is on the driver; a row finds its shard by comparing columns.
+weighted medians. Only the tree, one split per shard, is on the driver; a row finds its shard by joins with the splits of each
+level, small tables that are broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,6 @@ BIN_BITS = 16
 KEY_BITS = 62
 #: A split may be off by this part of a shard.
 TOLERANCE = 1e-4
-#: A row finds its shard by comparisons in one expression, which bounds the shards of one tree; cut a larger table into parts first.
-MAX_SHARDS = 4096
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
@@ -57,42 +57,48 @@ def _key(dimension: str, shift: int = 0) -> Column:
 
 
 class KdTree:
-    """Splits by node; the root is (0, n), a node (first shard, number of shards)."""
+    """Splits by node, a list for each level; the root is (0, n), a node (first shard, number of shards)."""
 
     def __init__(self, n_shards: int, id_shift: int):
-        self.n_shards, self.id_shift, self.splits = n_shards, id_shift, {}
+        self.n_shards, self.id_shift, self.levels = n_shards, id_shift, []
 
-    def key(self, dimension: str) -> Column:
-        return _key(dimension, self.id_shift if dimension == "doc_id" else 0)
+    def key(self, dimension: Column) -> Column:
+        """The splitting key along a dimension given by its number."""
+        out = F.lit(None).cast("long")
+        for i, d in enumerate(DIMENSIONS):
+            out = F.when(dimension == i, _key(d, self.id_shift if d == "doc_id" else 0)).otherwise(out)
+        return out
 
-    def leaf(self, first: int = 0, size: int | None = None) -> Column:
-        """First shard of the leaf that a row is in."""
-        size = self.n_shards if size is None else size
-        split = self.splits.get((first, size))
-        if split is None:
-            return F.lit(first)
-        left = size // 2
-        return F.when(self.key(split.dimension) < split.at, self.leaf(first, left)).otherwise(self.leaf(first + left, size - left))
+    def step(self, rows: DataFrame, splits: dict[int, tuple[Split, int]]) -> DataFrame:
+        """``rows`` with the ``_node`` that they are in after the splits of one level, each with the shards to its left."""
+        if not splits:
+            return rows
+        table = rows.sparkSession.createDataFrame([(n, DIMENSIONS.index(s.dimension), int(s.at), left) for n, (s, left) in splits.items()], "_of int, _dim int, _at long, _left int")
+        joined = rows.join(F.broadcast(table), F.col("_node") == F.col("_of"), "left")
+        right = F.when(self.key(F.col("_dim")) >= F.col("_at"), F.col("_left")).otherwise(0)
+        return joined.withColumn("_node", F.col("_node") + right).drop("_of", "_dim", "_at", "_left")
+
+    def leaves(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``_node``, the first shard of the leaf that a row is in: one small table is joined for each level."""
+        return reduce(self.step, self.levels, rows.withColumn("_node", F.lit(0)))
 
 
 def _medians(rows: DataFrame, tree: KdTree, wanted: dict[int, tuple[str, int]], tolerance: float) -> dict[int, int]:
-    """Splitting key of each node: ``wanted`` has its dimension and the bytes that are to lie below."""
+    """Splitting key of each node: ``wanted`` has its dimension and the bytes that are to lie below.
+
+    The nodes still searched are a table that is joined, so a level may have any number of them.
+    """
     low, below, found, bits = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0), {}, KEY_BITS
     while len(found) < len(wanted):
-        active = [n for n in wanted if n not in found]
+        active = [(n, DIMENSIONS.index(wanted[n][0]), int(low[n]), int(wanted[n][1] - below[n])) for n in wanted if n not in found]
+        table = rows.sparkSession.createDataFrame(active, "_of int, _dim int, _low long, _short long")
         step = min(BIN_BITS, bits)
         rest = bits - step
-        key = F.lit(None).cast("long")
-        for n in active:
-            k = tree.key(wanted[n][0])
-            inside = (k >= low[n]) & (k < low[n] + (1 << bits)) if bits < KEY_BITS else F.lit(True)
-            key = F.when((F.col("_node") == n) & inside, F.shiftright(k - low[n], rest)).otherwise(key)
-        bins = rows.withColumn("_bin", key).where("_bin IS NOT NULL").groupBy("_node", "_bin").agg(F.sum("_size").alias("bytes"))
+        keyed = rows.join(F.broadcast(table), F.col("_node") == F.col("_of")).withColumn("_above", tree.key(F.col("_dim")) - F.col("_low"))
+        inside = keyed.where((F.col("_above") >= 0) & (F.col("_above") < F.lit(1 << bits)))
+        bins = inside.groupBy("_node", F.shiftright("_above", rest).alias("_bin"), "_short").agg(F.sum("_size").alias("bytes"))
         upto = F.sum("bytes").over(Window.partitionBy("_node").orderBy("_bin"))
-        target = F.lit(0).cast("long")
-        for n in active:
-            target = F.when(F.col("_node") == n, F.lit(wanted[n][1] - below[n])).otherwise(target)
-        crossing = bins.withColumn("upto", upto).where((F.col("upto") >= target) & (F.col("upto") - F.col("bytes") < target))
+        crossing = bins.withColumn("upto", upto).where((F.col("upto") >= F.col("_short")) & (F.col("upto") - F.col("bytes") < F.col("_short")))
         for r in crossing.collect():  # one row per node
             n, lower, upper = r["_node"], r["upto"] - r["bytes"], r["upto"]
             short = wanted[n][1] - below[n]
@@ -105,16 +111,19 @@ def _medians(rows: DataFrame, tree: KdTree, wanted: dict[int, tuple[str, int]],
 
 
 def build_tree(rows: DataFrame, n_shards: int) -> KdTree:
-    """The tree over ``rows`` of ``points``; an empty table gives a tree without splits."""
-    if not 0 < n_shards <= MAX_SHARDS:
-        raise ValueError(f"a tree has between 1 and {MAX_SHARDS} shards")
+    """The tree over ``rows`` of ``points``; an empty table gives a tree without splits.
+
+    The node of each row is written after every level, so no expression and no plan grows with the tree.
+    """
+    if n_shards < 1:
+        raise ValueError("a tree has one shard at least")
     total, top = rows.agg(F.sum("_size"), F.max("_p_doc_id")).first()
     tree = KdTree(n_shards, max(0, int(top or 0).bit_length() - 31))
     if not total:
         return tree
     nodes, extent = {0: n_shards}, None
+    node = rows.withColumn("_node", F.lit(0))
     while any(k > 1 for k in nodes.values()):
-        node = rows.withColumn("_node", tree.leaf())
         marks = [f(F.col(f"_p_{d}")).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))]
         facts = {r["_node"]: r for r in node.groupBy("_node").agg(F.sum("_size").alias("bytes"), *marks).collect()}  # a row per node
         width = lambda r, d: r[f"hi_{d}"] - r[f"lo_{d}"]
@@ -125,14 +134,17 @@ def build_tree(rows: DataFrame, n_shards: int) -> KdTree:
                 widest = max(DIMENSIONS, key=lambda d: width(facts[n], d) / extent[d])
                 wanted[n] = (widest, round(facts[n]["bytes"] * (k // 2) / k))
         at = _medians(node, tree, wanted, TOLERANCE * total / n_shards) if wanted else {}
-        new = {}
+        new, splits = {}, {}
         for n, k in nodes.items():
             if k > 1 and n in at:
-                tree.splits[n, k] = Split(wanted[n][0], at[n])
+                splits[n] = Split(wanted[n][0], at[n]), k // 2
                 new[n], new[n + k // 2] = k // 2, k - k // 2
             else:
                 new[n] = 1
         nodes = new
+        tree.levels.append(splits)
+        if any(k > 1 for k in nodes.values()):
+            node = written(tree.step(node, splits), "nodes")
     return tree
 
 
@@ -150,8 +162,8 @@ def with_shards(docs: DataFrame, n_shards: int, **columns: str) -> DataFrame:
     space = points(docs, **columns)
     tree = build_tree(written(docs.select(*[c.alias(n) for n, c in space.items()]), "points"), n_shards)
     names = docs.columns
-    placed = docs.withColumns(space).withColumn("_shard", tree.leaf().cast("int"))
-    return placed.select(*[n for n in names if n != "shard"], F.col("_shard").alias("shard"))
+    placed = tree.leaves(docs.withColumns(space))
+    return placed.select(*[n for n in names if n != "shard"], F.col("_node").cast("int").alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, target_bytes: int, **columns: str) -> int:
