@@ -144,6 +144,20 @@ def test_each_pattern_alone_is_found(spark):
     assert [t for i, t in enumerate(texts) if not out[i]["n_entities"] or out[i]["text"] == t] == []
 
 
+def test_surrogates_where_nothing_can_be_drawn(spark):
+    """Nothing to scramble, or all values of a format are entities: longer forms, distinct and no entity."""
+    odd = ["password=******", "token:........", "password=密码密码密码", "Mr Հովիկ", "Mr Մարիա", "mail %%%@b.org", "mail ___@b.org"]
+    full = [f"mail {a}@ka.io" for a in "aeiouy"] + [f"Mr {a}{b}" for a in "AEIOUY" for b in "aeiouy"]
+    few = [f"host 192.168.{i}.{j}" for i in range(256) for j in range(1, 255) if i % 8]
+    texts = odd + full + few
+    out = replaced(spark, list(enumerate(texts)))
+    last = lambda t: re.split("[ =:]", t, maxsplit=1)[1]
+    new = [last(out[i]["text"]) for i in range(len(texts))]
+    assert len(set(new)) == len(new) and not set(new) & set(map(last, texts))
+    private = [n for n in new[-len(few) :] if n.startswith("192.168.")]
+    assert len(private) == 65024 - len(few) and all(n.startswith("10.") for n in set(new[-len(few) :]) - set(private))
+
+
 def test_surrogate_edge_cases(spark, nasty, empty):
     out = pii.replace_entities(nasty, "k")
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(r["doc_id"]), str(r["text"])) for r in nasty.collect())

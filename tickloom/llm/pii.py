@@ -4,7 +4,8 @@ Entities are found by patterns; a normal form (lower-case address, digits of a n
 entity. Every distinct entity gets one surrogate, drawn from a keyed hash: letters become letters of the same script, case
 and vowel class, digits digits, a card number keeps a right check digit, an IP address its kind, a given name stays within
 its gender and script. Distinct entities of a type must have distinct surrogates, and none may be an entity of the corpus;
-those that fail are drawn again with the next attempt number until all hold. A mention is then written in its own format with
+those that fail are drawn again with the next attempt number while that settles half of them or more; what is left is ranked and
+given the unused values of its format, and of a longer form when the format has none left. A mention is then written in its own format with
 the surrogate of its entity, the same in all documents.
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import numbered, written
 
 ATTEMPTS = 32
 #: Given names by gender and script. Surrogates go round within a list.
@@ -151,9 +152,106 @@ def write_like(kind: Column, mention: Column, drawn: Column) -> Column:
         lambda acc, c: F.when(
             c.rlike("[0-9A-Za-z]"), F.struct(F.concat(acc["out"], F.substring(drawn, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
         ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-    )["out"]
+        # a longer form ends with what the mention has no place for
+        lambda acc: F.concat(acc["out"], F.substring(drawn, acc["at"], F.lit(1 << 20))),
+    )
     cased = F.array_join(F.transform(signs, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(drawn, i + 1, F.lit(1)))).otherwise(F.substring(drawn, i + 1, F.lit(1)))), "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), fill).when((kind == "email") & (mention != F.lower(mention)), cased).otherwise(drawn)
+    same = F.char_length(mention) == F.char_length(drawn)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), fill).when((kind == "email") & same & (mention != F.lower(mention)), cased).otherwise(drawn)
+
+
+#: Places of a format that are not characters of a round.
+WIDE = {
+    "p": [str(i) for i in range(11, 121)], "o": [str(i) for i in range(256)], "h": [str(i) for i in range(1, 255)], "x": list("0123456789abcdef"),
+    "l": list("abcdefghijklmnopqrstuvwxyz"), "L": list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "0": list("0123456789"),
+}
+#: Values tried for each entity at first, and how many times as many in the next round.
+TRIED, GROWTH, CHUNK = 4, 8, 4096
+
+
+def _format(kind: Column, norm: Column, level: Column, secret: str) -> Column:
+    """What all surrogates that an entity may have look like: prefix, skeleton (one sign for each place), mode and suffix.
+
+    Level 0 is the format of ``surrogate``; higher ones are longer or wider, for formats that are full or have one value only.
+    """
+    skeleton = lambda text: F.array_join(F.transform(F.split(text, ""), lambda c: reduce(lambda out, r: F.when((c != "") & F.lit(r).contains(c), F.lit(r[0])).otherwise(out), reversed(ROUNDS), c)), "")
+    form = lambda prefix, bones, mode="own", suffix="": F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in (("prefix", prefix), ("skeleton", bones), ("mode", mode), ("suffix", suffix))])
+    first = lambda n: F.substring(norm, 1, n)
+    after = lambda n: F.substring(norm, F.lit(n + 1), F.lit(1 << 20))
+    domain = F.concat(F.lit("@"), F.substring_index(surrogate(kind, norm, F.lit(0), secret), "@", -1))
+    private = F.regexp_extract(norm, r"^(10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 1)
+    dotted, ten, six = F.concat(private, F.lit(".")), form("10.", "o.o.h", "wide"), form("fd", "xx:xxxx:xxxx::xxxx", "wide")
+    code = F.when(F.char_length(norm) > 10, F.substring(norm, F.lit(1), F.char_length(norm) - 10)).otherwise("")
+    rest = F.substring(norm, F.char_length(code) + 1, F.lit(64))
+    hexadecimal = norm.rlike("^[0-9a-f]{16,}$")
+    own = (
+        F.when(kind == "email", form("", skeleton(F.substring_index(norm, "@", 1)), "own", domain))
+        .when(kind == "ip", F.when(private == "10", ten).when(private != "", form(dotted, "o.h", "wide")).otherwise(form("", "p.o.o.h", "wide")))
+        .when(kind == "card", form(first(1), skeleton(F.substring(norm, F.lit(2), F.char_length(norm) - 2))))
+        .when(kind == "phone", form(code, skeleton(rest)))
+        .when(kind == "iban", form(first(2), skeleton(after(2))))
+        .when((kind == "secret") & norm.startswith("AKIA"), form("AKIA", skeleton(after(4))))
+        .when((kind == "secret") & hexadecimal, form("", F.regexp_replace(norm, ".", "x"), "wide"))
+        .otherwise(form("", skeleton(norm)))
+    )
+    longer = (
+        F.when(kind == "email", form("", "l" * 16, "wide", domain)).when(kind == "ip", F.when((private != "") & (level == 1), ten).otherwise(six))
+        .when(kind == "card", form(first(1), "0" * 17, "wide")).when(kind == "phone", form(code, F.concat(F.regexp_replace(rest, ".", "0"), F.lit("0" * 6)), "wide"))
+        .when(kind == "iban", form(first(2), "0" * 24, "wide")).when(kind == "ssn", form("", "0" * 15, "wide"))
+        .when(kind == "surname", form("", "L" + "l" * 15, "wide")).otherwise(form("", "l" * 16, "wide"))
+    )
+    return F.when(level == 0, own).otherwise(longer)
+
+
+def _places(form: Column) -> Column:
+    """The values that each place of a format may have."""
+    pick = lambda c, sets: reduce(lambda out, s: F.when(c == s[0], F.array(*map(F.lit, s[1]))).otherwise(out), sets, F.array(c))
+    own, wide = [(r[0], list(r)) for r in ROUNDS], list(WIDE.items())
+    return F.transform(F.split(form["skeleton"], ""), lambda c: F.when(form["mode"] == "own", pick(c, own)).otherwise(pick(c, wide)))
+
+
+def _value(kind: Column, form: Column, number: Column, stream: Column) -> Column:
+    """The value of a format with this number; different numbers below its size give different values."""
+
+    def place(acc, values):
+        n = F.size(values)
+        digit = F.pmod(acc["rest"], n.cast("long"))
+        at = F.pmod(digit + _draw(stream, acc["i"], n), n.cast("long")).cast("int")
+        return F.struct(F.concat(acc["out"], F.get(values, at)).alias("out"), ((acc["rest"] - digit) / n).cast("long").alias("rest"), (acc["i"] + 1).alias("i"))
+
+    start = F.struct(F.lit("").alias("out"), number.cast("long").alias("rest"), F.lit(0).alias("i"))
+    text = F.concat(form["prefix"], F.aggregate(_places(form), start, place)["out"], form["suffix"])
+    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(text, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+    return F.when(kind == "card", F.concat(text, check)).otherwise(text)
+
+
+def _unused(left: DataFrame, taken: DataFrame, secret: str) -> list[DataFrame]:
+    """(kind, norm, drawn) for all of ``left`` (kind, norm): the n-th of a format gets its n-th value that is not ``taken`` (kind, drawn).
+
+    So many values of a format are listed as could be enough, then more, at most all; who finds none takes the next longer format.
+    """
+    done: list[DataFrame] = []
+    left = left.select("kind", "norm", F.lit(0).alias("level"), F.lit(0).alias("round"))
+    while True:
+        formed = left.withColumn("form", _format(F.col("kind"), F.col("norm"), F.col("level"), secret))
+        formed = formed.withColumn("key", F.sha2(F.to_json(F.struct("kind", "form")), 256)).withColumn("order", F.sha2(F.concat_ws("\x1f", F.lit(secret), "kind", "norm"), 256))
+        formed = written(formed, "formed")
+        space = F.least(F.aggregate(_places(F.col("form")), F.lit(1.0), lambda n, values: n * F.size(values)), F.lit(float(1 << 50))).cast("long")
+        wanted = F.least(F.count(F.lit(1)) * TRIED * F.pow(F.lit(float(GROWTH)), F.min("round")), F.lit(float(1 << 50))).cast("long")
+        groups = formed.groupBy("key", "kind", "form").agg(wanted.alias("wanted")).withColumn("space", space)
+        groups = written(groups.withColumn("n", F.least("wanted", "space")), "formats")
+        numbers = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("key", "chunk")
+        numbers = numbers.withColumn("number", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)))
+        value = _value(F.col("kind"), F.col("form"), F.col("number"), _stream(secret, F.col("key")))
+        listed = numbers.select("kind", "key", value.alias("drawn")).groupBy("kind", "drawn").agg(F.min("key").alias("key"))
+        listed = written(listed.join(reduce(DataFrame.unionByName, [d.select("kind", "drawn") for d in done], taken), ["kind", "drawn"], "left_anti"), "unused")
+        ranked = numbered(listed, "key", ["drawn"], "rank").select("key", "rank", "drawn")
+        given = numbered(formed, "key", ["order"], "rank").join(ranked, ["key", "rank"], "left").join(groups.select("key", (F.col("n") == F.col("space")).alias("full")), "key")
+        given = written(given.select("kind", "norm", "level", "round", "drawn", "full"), "given")
+        done.append(given.where("drawn IS NOT NULL").select("kind", "norm", "drawn"))
+        left = given.where("drawn IS NULL").select("kind", "norm", (F.col("level") + F.col("full").cast("int")).alias("level"), F.when(F.col("full"), 0).otherwise(F.col("round") + 1).alias("round"))
+        if not left.limit(1).count():
+            return done
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -161,6 +259,7 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     left = written(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
     real = left.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("_real"))
     done: list[DataFrame] = []
+    n_left = left.count()
     for _ in range(ATTEMPTS):
         # the two copies of one drawing must be the same, so they are written before they are compared
         tried = written(left.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), secret)), "drawn")
@@ -171,9 +270,13 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
         judged = written(judged.withColumn("_fine", fine).select("kind", "norm", "attempt", "drawn", "_fine"), "judged")
         done.append(judged.where("_fine").select("kind", "norm", "drawn"))
         left = judged.where("NOT _fine").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
-        if not left.limit(1).count():
+        n_before, n_left = n_left, left.count()
+        if not n_left:
             return reduce(DataFrame.unionByName, done)
-    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts: the entities fill their formats")
+        if 2 * n_left > n_before:  # most of what they could draw is taken
+            break
+    taken = reduce(DataFrame.unionByName, [d.select("kind", "drawn") for d in done], real.select("kind", "drawn"))
+    return reduce(DataFrame.unionByName, [*done, *_unused(left, taken, secret)])
 
 
 def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
