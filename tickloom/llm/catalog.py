@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, decontaminate, jaccard, mixing, oracles, pii, quality_model, sharding, substring, tokens, urls
+from . import audit, cascade, decontaminate, jaccard, langid, mixing, oracles, pii, quality_model, sharding, spelling, substring, tokens, urls
 from .shared import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,24 @@ SURROGATE_KEY = "tickloom demonstration key"
 def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with every detected entity replaced by its surrogate."""
     return pii.replace_entities(parquet(spark, folder, "documents"), SURROGATE_KEY)
+
+
+@query()
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    import public_tokenizers
+
+    out = langid.predicted_languages(parquet(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(oracles.FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters keep, remove and lose for each source, in every order."""
+    return audit.filter_audit(parquet(spark, folder, "documents"), parquet(spark, folder, "labels"))
+
+
+@query(oracles.SPELLING)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, root and near words of every word of the documents."""
+    return spelling.spelling_variants(parquet(spark, folder, "documents"))

@@ -110,3 +110,80 @@ FROM based
 
 
 URL_FILTERS = _url_filters()
+
+FILTER_AUDIT = rf"""
+WITH fact AS (
+  SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+),
+failing AS (
+  SELECT part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS f
+  FROM fact
+),
+digits AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM digits a, digits b, digits c, digits d, digits e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+cell AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failing GROUP BY part, f),
+step AS (
+  SELECT part, o, s AS step, n, good, toxic, f[o[s]] AS fails, len(list_filter(o[:s - 1], lambda x: f[x])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS n_fails
+  FROM cell, orders, (SELECT unnest(range(1, 6)) AS s)
+),
+told AS (
+  SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', CAST(x AS INTEGER), 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+    CAST(sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM step GROUP BY ALL
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM told
+"""
+
+
+def _crc_steps() -> str:
+    """Remainders of the 256 bytes by the reflected polynomial of CRC-32, as a SQL list."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return f"[{', '.join(map(str, table))}]"
+
+
+SPELLING = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_A_Z}', '{_a_z}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents
+),
+typed AS (SELECT doc_id, r, count(*) AS n, hex(encode(doc_id || ':' || r)) AS hex FROM run GROUP BY doc_id, r),
+steps AS (SELECT {_crc_steps()} AS t),
+summed AS (
+  SELECT doc_id, r, typed.n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(hex) / 2 AS BIGINT)), lambda k: CAST('0x' || substr(hex, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+  FROM typed, steps
+),
+counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM summed
+),
+word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+pair AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN word b ON a.d = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN word b ON a.d = b.word
+),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS k FROM pair),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM word w LEFT JOIN ranked r ON r.word = w.word AND k = 1
+),
+walk(word, here) AS (SELECT word, word FROM formed UNION ALL SELECT v.word, f.form FROM walk v JOIN formed f ON f.word = v.here WHERE f.form IS NOT NULL),
+root AS (SELECT v.word, v.here AS root FROM walk v JOIN formed f ON f.word = v.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN root USING (word)
+"""
