@@ -11,7 +11,7 @@ from tickloom.functions.closed_forms import _student_tail
 from tickloom.operators import clean, models, orderbook
 from tickloom.operators.features import FEATURES
 from tickloom.plans import Axis, average_rank, lay_out, over_rows, rolling_sum, running
-from tickloom.plans import ranking
+from tickloom.plans import layout
 from tickloom.sources import market_table
 from tickloom.sources.files import read_parquet
 from tickloom.streaming.ordered import BookProcessor
@@ -83,14 +83,14 @@ def test_filter_after_layout(spark, folder):
     assert rows(running(laid, axis, s=("sum", "volume"))) == rows(running(plain, Axis(), s=("sum", "volume")))
 
 
-def test_frequent_values_too_many_to_broadcast(spark, monkeypatch):
+def test_frequent_values_lie_in_many_cuts(spark, monkeypatch):
     rows = [("A", T0, i, float(i % 4) if i % 9 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, x double")
     got = lambda axis: sorted((r["seq"], r["r"]) for r in average_rank(df, axis, r="x").collect())
     want = got(Axis())
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ranking, "COPIES", 5)
     assert got(Axis(rows_per_task=20)) == want
+    monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
+    assert got(Axis(rows_per_task=7)) == want
 
 
 def test_short_key_stays_in_the_ridge_report(spark, folder):

@@ -241,6 +241,15 @@ def feature_information_coefficients(spark, folder):
     return rounded(stats.feature_ic(d, list(features.FEATURES), axis), 4)
 
 
+@query(over("ticks", _IC, **WHOLE_STEPS))
+def split_key_feature_ic(spark, folder):
+    """The same on keys of which none fits in one task: ranks come from range sorts cut into pieces."""
+    df, axis = table(spark, folder, "ticks", Axis(rows_per_task=400))
+    d = features.lagged_feature_table(df, axis)
+    d = d.withColumns({c: F.round(c, 12) for c in (*features.FEATURES, "ret_1m")})
+    return rounded(stats.feature_ic(d, list(features.FEATURES), axis), 4)
+
+
 @query()
 def ofi_unit_root(spark, folder):
     d, axis = ofi_signals(spark, folder)
@@ -257,6 +266,37 @@ def unit_root_without_lags(spark, folder):
     return rounded(models.unit_root(df, axis, "close", max_lag=0).select("symbol", "adf_stat", "n_lags"), 4)
 
 
+def adf_sql(k: int, known: str) -> str:
+    """Regression of the change on a constant, ``k`` earlier changes and the level, by taking out one column after another."""
+    changes = [f"d{i}" for i in range(1, k + 1)]
+    sql = f"SELECT symbol, {', '.join(f'{c} - avg({c}) OVER s AS {c}' for c in [*changes, 'l', 'd'])} FROM moves WHERE {known} IS NOT NULL WINDOW s AS (PARTITION BY symbol)"
+    for i, c in enumerate(changes):
+        rest = [*changes[i + 1 :], "l", "d"]
+        sql = f"SELECT symbol, {', '.join(f'{x} - {c} * sum({x} * {c}) OVER s / sum({c} * {c}) OVER s AS {x}' for x in rest)} FROM ({sql}) WINDOW s AS (PARTITION BY symbol)"
+    return f"SELECT symbol, {k} AS k, count(*) AS n, sum(l * d) / sum(l * l) AS b, sum(d * d) - pow(sum(l * d), 2) / sum(l * l) AS ssr, sum(l * l) AS ll FROM ({sql}) GROUP BY symbol"
+
+
+def moves_sql(series: str, x: str, n_lags: int) -> str:
+    diff = lambda k: f"lag({x}, {k}) OVER {WD} - lag({x}, {k + 1}) OVER {WD}" if k else f"{x} - lag({x}) OVER {WD}"
+    return f"SELECT symbol, lag({x}) OVER {WD} AS l, {diff(0)} AS d, {', '.join(f'{diff(k)} AS d{k}' for k in range(1, n_lags + 1))} FROM {series}"
+
+
+@query(over("daily", f"SELECT symbol, {r('b / sqrt(ssr / (n - k - 2) / ll)', 4)} AS adf_stat, CAST(k AS INTEGER) AS n_lags FROM f", moves=moves_sql("daily", "close", 2), f=adf_sql(2, "d2")))
+def unit_root_two_lags(spark, folder):
+    df, axis = table(spark, folder, "daily")
+    return rounded(models.unit_root(df, axis, "close", max_lag=2, autolag=False).select("symbol", "adf_stat", "n_lags"), 4)
+
+
+@query(over("daily", f"""
+SELECT symbol, {r('b / sqrt(ssr / (n - k - 2) / ll)', 4)} AS adf_stat, CAST(k AS INTEGER) AS n_lags
+FROM (SELECT symbol, arg_min(k, n * ln(ssr) + 2 * (2 + k)) AS k FROM tried GROUP BY symbol) JOIN own USING (symbol, k)""",
+    x=RET, kept="SELECT * FROM x WHERE ret IS NOT NULL", moves=moves_sql("kept", "ret", 2),
+    tried=" UNION ALL ".join(adf_sql(k, "d2") for k in range(3)), own=" UNION ALL ".join(adf_sql(k, f"d{k}" if k else "d") for k in range(3))))
+def unit_root_lags_by_aic(spark, folder):
+    df, axis = daily_returns(spark, folder)
+    return rounded(models.unit_root(df, axis, "ret", max_lag=2).select("symbol", "adf_stat", "n_lags"), 4)
+
+
 @query()
 def price_and_return_unit_roots(spark, folder):
     df, axis = daily_returns(spark, folder)

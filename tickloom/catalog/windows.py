@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, normalize, ofi, trades
-from ..plans import (
-    Axis, after, average_rank, change, over_rows, rolling_cov, rolling_max, rolling_mean, rolling_min, rolling_std,
-    rolling_sum, rolling_var, running,
-)
+from ..plans import Axis, Rolling, after, average_rank, change, over_rows, running, with_rolling
 from .base import W, WD, frame, full, over, query, r, rounded, table
 from .selection import RET, SIZE_OFI, daily_returns
 
@@ -54,7 +51,7 @@ def rolling_mean_and_std(spark, folder):
     df, axis = daily_returns(spark, folder)
 
     def build(d, w):
-        return d.withColumns({"rolling_mean": rolling_mean("ret", w, 20), "rolling_std": rolling_std("ret", w, 20)})
+        return with_rolling(d, w, rolling_mean=Rolling("mean", "ret", 20), rolling_std=Rolling("std", "ret", 20))
 
     return rounded(over_rows(df, axis, build, back=19).select("symbol", "date", "rolling_mean", "rolling_std"))
 
@@ -81,9 +78,7 @@ def rolling_low_and_high(spark, folder):
     df, axis = table(spark, folder, "ticks")
 
     def build(d, w):
-        return d.withColumns(
-            {"low": rolling_min("trade_price", w, 30, min_periods=1), "high": rolling_max("trade_price", w, 30, min_periods=1)}
-        )
+        return with_rolling(d, w, low=Rolling("min", "trade_price", 30, need=1), high=Rolling("max", "trade_price", 30, need=1))
 
     return over_rows(df, axis, build, back=29).select("symbol", "seq", "low", "high")
 
@@ -94,9 +89,7 @@ def rolling_before_current_row(spark, folder):
     df, axis = table(spark, folder, "ticks")
 
     def build(d, w):
-        return d.withColumns(
-            {"prior_mean": rolling_mean("volume", w, 20, skip=1), "prior_std": rolling_std("volume", w, 20, skip=1)}
-        )
+        return with_rolling(d, w, prior_mean=Rolling("mean", "volume", 20, skip=1), prior_std=Rolling("std", "volume", 20, skip=1))
 
     return rounded(over_rows(df, axis, build, back=20).select("symbol", "seq", "prior_mean", "prior_std"))
 
@@ -150,9 +143,8 @@ def split_key_rolling(spark, folder):
 
     def build(d, w):
         d = d.withColumn("ofi", ofi.ofi_column(w, "size_only"))
-        return d.withColumns(
-            {"ofi_10m": rolling_sum("ofi", w, 60), "ofi_std": rolling_std("ofi", w, 20), "ahead": after("trade_price", w, 30)}
-        )
+        d = with_rolling(d, w, ofi_10m=Rolling("sum", "ofi", 60), ofi_std=Rolling("std", "ofi", 20))
+        return d.withColumn("ahead", after("trade_price", w, 30))
 
     return rounded(over_rows(df, axis, build, back=60, ahead=30).select("symbol", "seq", "ofi_10m", "ofi_std", "ahead"))
 
@@ -180,6 +172,30 @@ def rolling_covariance(spark, folder):
 
     def build(d, w):
         d = d.withColumn("ofi", ofi.ofi_column(w, "size_only"))
-        return d.withColumns({"cov": rolling_cov("bid_size", "ofi", w, 20), "var": rolling_var("ofi", w, 20)})
+        return with_rolling(d, w, cov=Rolling("cov", "bid_size", 20, y="ofi"), var=Rolling("var", "ofi", 20))
 
     return rounded(over_rows(df, axis, build, back=20).select("symbol", "seq", "cov", "var"), 3)
+
+
+@query(over("ticks", f"""
+SELECT symbol, seq, {r(full('avg', 'trade_price', 2000))} AS mean, {r(full('stddev_samp', 'trade_price', 2000))} AS std, min(volume) OVER {frame(2000)} AS low,
+       max(volume) OVER {frame(2000)} AS high, {r(f'covar_samp(bid_size, ask_size) OVER {frame(2000)}', 3)} AS cov
+FROM ticks"""))
+def rolling_values_of_long_frames(spark, folder):
+    """Frames of 2,000 rows, on keys that are cut into runs shorter than a frame."""
+    df, axis = _small_tasks(spark, folder)
+
+    def build(d, w):
+        return with_rolling(
+            d, w, mean=Rolling("mean", "trade_price", 2000), std=Rolling("std", "trade_price", 2000), low=Rolling("min", "volume", 2000, need=1),
+            high=Rolling("max", "volume", 2000, need=1), cov=Rolling("cov", "bid_size", 2000, y="ask_size", need=2),
+        )
+
+    return rounded(over_rows(df, axis, build, back=1999).select("symbol", "seq", "mean", "std", "low", "high", "cov"), cov=3)
+
+
+@query(over("ticks", rolling_rank_sql(400), p=NUMBERED))
+def split_key_rolling_ranks(spark, folder):
+    df, axis = _small_tasks(spark, folder)
+    d = normalize.normalize_features(df.select("symbol", "ts", "seq", "volume"), ["volume"], axis, "rank", 400, suffix="_rank")
+    return rounded(d.select("symbol", "seq", "volume_rank"))

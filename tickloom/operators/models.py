@@ -1,8 +1,8 @@
 """Ridge and unit-root regressions per key.
 
-Both need the cross-products of a wide design. Each task adds them up for the rows it has and
-emits one matrix per key; the matrices are summed by a shuffle on (key, cell), and what is
-solved is one small matrix per key.
+Both need the cross-products of a wide design, and what is solved is one small matrix per key. For a ridge fit each task
+adds them up for the rows it has and emits one matrix per key, summed by a shuffle on (key, cell). A unit-root design is
+made of lags of one series, so its matrix follows from a band of lagged products.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import unit_root_p
-from ..plans import Axis, TICKS, attach, average_rank, materialise, over_rows, trailing
+from ..plans import POS, Axis, TICKS, attach, average_rank, before, change, materialise, over_rows, with_positions
 from .features import chronological_split
 from .stats import rank_ic
 
@@ -170,11 +170,96 @@ def _longest_lag(n: int) -> int:
     return max(min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)), 0)
 
 
-def _regress(g: np.ndarray, last: int) -> tuple[float, float, np.ndarray, np.ndarray, int]:
-    """Residual sum of squares, n, coefficients and inverse for the first ``last`` columns of a Gram matrix."""
-    inverse = np.linalg.pinv(g[:last, :last])
-    beta = inverse @ g[:last, -1]
-    return max(g[-1, -1] - beta @ g[:last, -1], 0.0), g[0, 0], beta, inverse, last
+def lagged_products(df: DataFrame, axis: Axis, x: str, lags: int) -> DataFrame:
+    """Sums over a key's series of which every regression of the change of ``x`` on its level and changes is made.
+
+    One row per key: ``n``, ``sx`` and ``sxx`` (sums of x and x²), ``xd0`` (x one row before times the change),
+    ``dd[k]`` (change times the change k rows before, k = 0..lags), ``xd[k]`` (x times the change k rows before) and the
+    first and last ``lags + 2`` values, ``head`` and ``tail``. ``x`` must be known in every row. Lags look back over
+    a bounded frame, so a large key is cut into runs, and all sums combine before the shuffle.
+    """
+    axis = axis.measured(df)
+    split = not axis.fits
+    d = with_positions(df.select(*axis.keys, *axis.order, F.col(x).cast("double").alias("_x")), axis)
+    d = attach(d, d.groupBy(*axis.keys).agg(F.count("*").alias("_n")), axis.keys, axis.n_keys)
+
+    def build(t, w):
+        t = t.withColumns({"_before": before("_x", w), "_d": change("_x", w)})
+        return t.withColumns({f"_d{k}": before("_d", w, k) for k in range(1, lags + 1)})
+
+    d = over_rows(d, axis, build, back=lags + 1, laid_out=split)
+    ks = range(lags + 1)
+    d_at = lambda k: F.col(f"_d{k}") if k else F.col("_d")
+    edge = lambda near: F.sort_array(F.collect_list(F.when(near, F.struct(POS, "_x"))))["_x"]
+    sums = {f"_dd{k}": F.sum(F.col("_d") * d_at(k)) for k in ks} | {f"_xd{k}": F.sum(F.col("_x") * d_at(k)) for k in ks}
+    found = d.groupBy(*axis.keys).agg(
+        F.count("*").alias("n"), F.sum("_x").alias("sx"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_before") * F.col("_d")).alias("xd0"),
+        edge(F.col(POS) < lags + 2).alias("head"), edge(F.col(POS) >= F.col("_n") - lags - 2).alias("tail"), *[v.alias(name) for name, v in sums.items()],
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return found.select(
+        *axis.keys, "n", "sx", "sxx", zero("xd0").alias("xd0"), "head", "tail",
+        F.array(*[zero(f"_dd{k}") for k in ks]).alias("dd"), F.array(*[zero(f"_xd{k}") for k in ks]).alias("xd"),
+    )
+
+
+def gram_of_lags(n: int, sx: float, sxx: float, xd0: float, dd, xd, head, tail, lags: int) -> np.ndarray:
+    """Gram matrix of (1, level before, ``lags`` earlier changes, change) over all rows that have them.
+
+    The sums run over whole series; rows ahead of the sample and the ends that lags cut off are taken out with the first
+    and last values. Along a diagonal an entry follows from the one before: its sum moves by one row, so one product
+    enters at the head and one leaves at the tail.
+    """
+    h, t = np.asarray(head, float), np.asarray(tail, float)
+    dh = np.concatenate(([0.0], np.diff(h)))  # change by row, from the start
+    dt = np.concatenate(([0.0], np.diff(t)))[::-1]  # change by row, from the end
+    g = np.zeros((lags + 3, lags + 3))
+    place = [lags + 2, *range(2, lags + 2)]  # columns of the changes 0, 1, ..., lags rows back
+    g[0, 0] = n - 1 - lags
+    g[0, 1] = sx - h[:lags].sum() - t[-1]
+    g[1, 1] = sxx - (h[:lags] ** 2).sum() - t[-1] ** 2
+    for i, c in enumerate(place):
+        g[0, c] = t[-1 - i] - h[lags - i]
+    g[1, place[0]] = xd0 - (h[:lags] * dh[1 : lags + 1]).sum()
+    for j in range(1, lags + 1):
+        m = j - 1
+        g[1, place[j]] = xd[m] - (h[j:lags] * dh[1 : lags - m]).sum() - t[-1] * dt[m]
+    moves = np.zeros((lags + 1, lags + 1))
+    moves[0] = [dd[k] - (dh[k + 1 : lags + 1] * dh[1 : lags + 1 - k]).sum() for k in range(lags + 1)]
+    for i in range(lags):
+        moves[i + 1, i + 1 :] = moves[i, i:lags] + dh[lags - i] * dh[lags - np.arange(i, lags)] - dt[i] * dt[i:lags]
+    for i, c in enumerate(place):
+        for j in range(i, lags + 1):
+            g[c, place[j]] = moves[i, j]
+    upper = np.triu(g) + np.tril(g, -1).T
+    return upper + np.triu(upper, 1).T
+
+
+def nested_residuals(g: np.ndarray, first: int) -> np.ndarray:
+    """Residual sums of squares of the regressions on the first ``first``, ``first + 1``, ... columns of a Gram matrix.
+
+    One Cholesky factor holds them all: each column takes its own square from what is left. Columns are scaled to length
+    one, and one that hangs together with those before it takes nothing.
+    """
+    p = len(g) - 1
+    size = np.sqrt(np.maximum(np.diag(g), 0))
+    size[size == 0] = 1
+    g = g / np.outer(size, size)
+    low, left, out = np.zeros((p, p + 1)), g[p, p], []
+    for j in range(p):
+        row = g[j] - low[:j, j] @ low[:j]
+        low[j] = row / math.sqrt(row[j]) if row[j] > 1e-13 else 0
+        left -= low[j, p] ** 2
+        if j + 1 >= first:
+            out.append(max(left, 0.0) * size[p] ** 2)
+    return np.array(out)
+
+
+def _regress(g: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, int]:
+    """Residual sum of squares, n, coefficients, inverse and number of regressors of a Gram matrix whose last column is explained."""
+    inverse = np.linalg.pinv(g[:-1, :-1])
+    beta = inverse @ g[:-1, -1]
+    return max(g[-1, -1] - beta @ g[:-1, -1], 0.0), g[0, 0], beta, inverse, len(g) - 1
 
 
 def unit_root(
@@ -183,83 +268,47 @@ def unit_root(
     """Augmented Dickey–Fuller test with a constant, per key; lags chosen by AIC.
 
     All lag counts are compared on the rows that have the most lags, then the chosen one is
-    refitted on every row it can use. A constant or too short series gives missing results.
+    refitted on every row it can use. A constant or too short series gives missing results. What is regressed per key is
+    one row of lagged products, so no row carries an array and Python sees one row per key.
     """
     axis = axis.measured(df)
     series = df.filter(F.col(x).isNotNull()).select(*axis.keys, *axis.order, F.col(x).cast("double").alias("_x"))
-    stats = series.groupBy(*axis.keys).agg(F.avg("_x").alias("_m"), F.count("*").alias("_n"))
-    n = F.col("_n")
-    most = F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))
-    limit = F.greatest(F.least(F.floor(n / 2) - 2, most if max_lag is None else F.lit(max_lag)), F.lit(0)).cast("int")
     top = _longest_lag(axis.widest) if max_lag is None else max_lag
-
-    d = attach(series, stats.select(*axis.keys, "_m", limit.alias("_lags")), axis.keys, axis.n_keys)
-    d = d.withColumn("_c", F.col("_x") - F.col("_m"))
-    d = over_rows(
-        d, axis, lambda t, w: t.withColumn("_seen", F.collect_list("_c").over(trailing(w, top + 2))), back=top + 1
-    )
-    size, lags = F.size("_seen"), F.col("_lags")
-    # the values ahead of the common sample: the last ones before a row has all its lags
-    heads = d.filter(size == lags + 1).select(*axis.keys, F.col("_seen").alias("head"))
-    used = F.slice("_seen", size - lags - 1, lags + 2)
-    level = F.element_at("_used", -2)
-    steps = F.transform(
-        F.sequence(F.lit(1), lags),
-        lambda k: F.element_at("_used", (-1 - k).cast("int")) - F.element_at("_used", (-2 - k).cast("int")),
-    )
-    row = F.concat(
-        F.array(F.lit(1.0), level),
-        F.when(lags > 0, steps).otherwise(F.array().cast("array<double>")),
-        F.array(F.element_at("_used", -1) - level),
-    )
-    design = d.filter(size >= lags + 2).withColumn("_used", used).select(*axis.keys, row.alias("_row"))
-    cells = cross_products(design, axis.keys, "_row")
-    # one row per key: every cell of its matrix, in order, with the head values
-    matrices = cells.groupBy(*axis.keys).agg(F.sort_array(F.collect_list(F.struct("cell", "value"))).alias("_cells"))
-    ready = matrices.select(*axis.keys, F.col("_cells.value").alias("gram")).join(heads, list(axis.keys), "left")
+    means = series.groupBy(*axis.keys).agg(F.avg("_x").alias("_m"))
+    centred = attach(series, means, axis.keys, axis.n_keys).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
+    # a finer axis is written once where keys are split: it is read for counting, numbering and adding up
+    ready = lagged_products(centred if axis.fits else materialise(centred), axis, "_x", top)
 
     result = T.StructType(
         [T.StructField("adf_stat", T.DoubleType()), T.StructField("p_value", T.DoubleType()), T.StructField("n_lags", T.IntegerType())]
     )
 
+    def test(n, sx, sxx, xd0, dd, xd, head, tail):
+        most = max(min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25) if max_lag is None else max_lag), 0)
+        if n < most + 2:
+            return None, None, None
+        gram = lambda lags: gram_of_lags(n, sx, sxx, xd0, dd, xd, head, tail, lags)
+        g = gram(most)
+        if g[1, 1] <= 1e-300 or g[-1, -1] <= 1e-300:
+            return None, None, None
+        lag = most
+        if autolag:
+            aic = [(g[0, 0] * math.log(max(ssr, 1e-300)) + 2 * (2 + k), k) for k, ssr in enumerate(nested_residuals(g, 2))]
+            lag = min(aic)[1]
+        ssr, rows, beta, inverse, k = _regress(g if lag == most else gram(lag))
+        spread = ssr / (rows - k) * inverse[1, 1] if rows > k else 0.0
+        stat = beta[1] / math.sqrt(spread) if spread > 0 else math.nan
+        return (stat, unit_root_p(stat), lag) if math.isfinite(stat) else (None, None, None)
+
+    columns = ("n", "sx", "sxx", "xd0", "dd", "xd", "head", "tail")
+
     @F.pandas_udf(result)
-    def finish(gram: pd.Series, head: pd.Series) -> pd.DataFrame:
-        out = []
-        for cells, first in zip(gram, head):
-            g = np.asarray(cells, dtype=float)
-            side = math.isqrt(len(g))
-            g = g.reshape(side, side)
-            lag = side - 3
-            if g[1, 1] <= 1e-300 or g[-1, -1] <= 1e-300:
-                out.append((None, None, None))
-                continue
-            if autolag:
-                scores = []
-                for k in range(lag + 1):
-                    ssr, rows, *_ = _regress(g, 2 + k)
-                    scores.append((rows * math.log(max(ssr, 1e-300)) + 2 * (2 + k), k))
-                lag = min(scores)[1]
-            if first is not None and lag < side - 3:
-                v = np.asarray(first, dtype=float)
-                dv = np.diff(v)
-                extra = [
-                    [1.0, v[t], *dv[t - lag : t][::-1], dv[t]] for t in range(lag, len(dv))
-                ]
-                pick = [*range(2 + lag), side - 1]
-                g = g[np.ix_(pick, pick)]
-                e = np.array(extra)
-                g = g + e.T @ e
-            else:
-                pick = [*range(2 + lag), side - 1]
-                g = g[np.ix_(pick, pick)]
-            ssr, rows, beta, inverse, k = _regress(g, 2 + lag)
-            spread = ssr / (rows - k) * inverse[1, 1] if rows > k else 0.0
-            stat = beta[1] / math.sqrt(spread) if spread > 0 else math.nan
-            out.append((stat, unit_root_p(stat), lag) if math.isfinite(stat) else (None, None, None))
+    def finish(n: pd.Series, sx: pd.Series, sxx: pd.Series, xd0: pd.Series, dd: pd.Series, xd: pd.Series, head: pd.Series, tail: pd.Series) -> pd.DataFrame:
+        out = [test(*row) for row in zip(n, sx, sxx, xd0, dd, xd, head, tail)]
         return pd.DataFrame(out, columns=["adf_stat", "p_value", "n_lags"]).astype({"n_lags": "Int32"})
 
     return (
-        ready.withColumn("_r", finish("gram", "head"))
+        ready.withColumn("_r", finish(*columns))
         .select(*axis.keys, "_r.*")
         .withColumn("stationary", F.col("p_value") < alpha)
     )

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kurt_corrected, ratio, skew_corrected, zero_to_null
-from ..plans import (
-    Axis, TICKS, attach, average_rank, over_rows, rolling_max, rolling_mean, rolling_min, rolling_rank, rolling_std,
-)
+from ..plans import Axis, Rolling, TICKS, attach, average_rank, over_rows, with_rolling, with_rolling_ranks
 
 METHODS = ("zscore", "minmax", "rank")
-#: A rolling rank compares the current value with each value in its window.
-SLOW_RANK_WINDOW = 120
 
 
-def _rolling(method: str, x: str, w, n: int):
+def _rolling(d: DataFrame, w, method: str, columns: list[str], n: int, suffix: str) -> DataFrame:
+    if method == "rank":
+        return with_rolling_ranks(d, w, n, **{c + suffix: c for c in columns})
+    kinds = {"zscore": ("mean", "std"), "minmax": ("min", "max")}[method]
+    d = with_rolling(d, w, **{f"_{k}_{c}": Rolling(k, c, n, need=1) for k in kinds for c in columns})
     if method == "zscore":
-        std = zero_to_null(rolling_std(x, w, n, min_periods=1))
-        return ratio(F.col(x) - rolling_mean(x, w, n, min_periods=1), std)
-    if method == "minmax":
-        low, high = rolling_min(x, w, n, min_periods=1), rolling_max(x, w, n, min_periods=1)
-        return ratio(F.col(x) - low, zero_to_null(high - low))
-    return rolling_rank(x, w, n)
+        out = {c: ratio(F.col(c) - F.col(f"_mean_{c}"), zero_to_null(f"_std_{c}")) for c in columns}
+    else:
+        out = {c: ratio(F.col(c) - F.col(f"_min_{c}"), zero_to_null(F.col(f"_max_{c}") - F.col(f"_min_{c}"))) for c in columns}
+    return d.withColumns({c + suffix: v for c, v in out.items()}).drop(*[f"_{k}_{c}" for k in kinds for c in columns])
 
 
 def normalize_features(
@@ -40,13 +36,7 @@ def normalize_features(
         raise ValueError(f"unknown normalisation {method!r}: choose from {', '.join(METHODS)}")
     axis = axis.measured(df)
     if window is not None:
-        if method == "rank" and window > SLOW_RANK_WINDOW:
-            warnings.warn(f"a rolling rank over {window} rows costs {window} comparisons per row")
-        return over_rows(
-            df, axis,
-            lambda d, w: d.withColumns({c + suffix: _rolling(method, c, w, window) for c in columns}),
-            back=window - 1,
-        )
+        return over_rows(df, axis, lambda d, w: _rolling(d, w, method, columns, window, suffix), back=window - 1)
     aggs = {
         "zscore": lambda c: [F.avg(c).alias(f"_a_{c}"), F.stddev_samp(c).alias(f"_b_{c}")],
         "minmax": lambda c: [F.min(c).alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}")],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import ratio, zero_to_null
-from ..plans import Axis, TICKS, before, change, over_rows, rolling_mean, rolling_std, with_rolling_sums
+from ..plans import Axis, Rolling, TICKS, before, change, over_rows, with_rolling, with_rolling_sums
 
 VARIANTS = ("cont", "reset", "signed_current", "size_only")
 
@@ -59,10 +59,8 @@ def with_rolling_ofi(df: DataFrame, axis: Axis = TICKS, windows=(5, 10), ofi: st
     """Rolling mean, std and sum of OFI for each window length."""
 
     def build(d, w):
-        added = {}
-        for n in windows:
-            added |= {f"ofi_mean_{n}": rolling_mean(ofi, w, n), f"ofi_std_{n}": rolling_std(ofi, w, n)}
-        return with_rolling_sums(d.withColumns(added), w, **{f"ofi_sum_{n}": (ofi, n) for n in windows})
+        added = {f"ofi_{kind}_{n}": Rolling(kind, ofi, n) for n in windows for kind in ("mean", "std")}
+        return with_rolling_sums(with_rolling(d, w, **added), w, **{f"ofi_sum_{n}": (ofi, n) for n in windows})
 
     return over_rows(df, axis, build, back=max(windows) - 1)
 
@@ -76,21 +74,19 @@ def with_ofi_sums(df: DataFrame, axis: Axis = TICKS, sums: dict[str, int] = OFI_
     )
 
 
-def normalised(x: str, w: WindowSpec, n: int = 20, by: str = "std", prior: bool = False, guard: bool = True) -> Column:
-    """``x`` over its rolling std (or mean); ``prior`` leaves the current row out of the window."""
-    fn = {"std": rolling_std, "mean": rolling_mean}[by]
-    scale = fn(x, w, n, skip=1 if prior else 0)
-    return ratio(x, zero_to_null(scale) if guard else scale)
+def with_normalised(df: DataFrame, axis: Axis = TICKS, n: int = 20, **specs: dict) -> DataFrame:
+    """Add ``name=dict(x=..., by=..., prior=..., guard=...)`` columns: ``x`` over its rolling std (or mean).
 
+    ``prior`` leaves the current row out of the window; without ``guard`` a zero scale divides as it is.
+    """
+    scales = {f"_scale_{name}": Rolling(s.get("by", "std"), s["x"], n, skip=int(s.get("prior", False))) for name, s in specs.items()}
 
-def with_normalised(df: DataFrame, axis: Axis = TICKS, n: int = 20, **specs: dict) -> DataFrame:
-    """Add ``name=dict(x=..., by=..., prior=...)`` columns of rolling-normalised values."""
-    prior = any(s.get("prior") for s in specs.values())
-    return over_rows(
-        df, axis,
-        lambda d, w: d.withColumns({name: normalised(w=w, n=n, **s) for name, s in specs.items()}),
-        back=n - 1 + int(prior),
-    )
+    def build(d, w):
+        d = with_rolling(d, w, **scales)
+        scale = lambda name, s: zero_to_null(f"_scale_{name}") if s.get("guard", True) else F.col(f"_scale_{name}")
+        return d.withColumns({name: ratio(s["x"], scale(name, s)) for name, s in specs.items()}).drop(*scales)
+
+    return over_rows(df, axis, build, back=n - 1 + max(s.skip for s in scales.values()))
 
 
 def with_spread_change(df: DataFrame, axis: Axis = TICKS, spread: str = "spread", out="spread_change", round_dp=None) -> DataFrame:

@@ -255,7 +255,7 @@ def rank_ic(
     """
     axis = axis.measured(df)
     pairs = df.filter(F.col(signal).isNotNull() & F.col(target).isNotNull()).select(
-        *axis.keys, F.col(signal).alias("_x"), F.col(target).alias("_y")
+        *axis.keys, *_places(df, axis), F.col(signal).alias("_x"), F.col(target).alias("_y")
     )
     ranked = average_rank(pairs, axis, _rx="_x", _ry="_y")
     agg = ranked.groupBy(*axis.keys).agg(F.corr("_rx", "_ry").alias("ic"), F.count("*").alias("n_obs"))
@@ -272,14 +272,26 @@ def rank_ic(
     )
 
 
+def _places(df: DataFrame, axis: Axis) -> list[str]:
+    """The order columns, which only a key too large for one task needs for its ranks."""
+    return [] if axis.fits else [c for c in axis.order if c in df.columns]
+
+
 def feature_ic(
     df: DataFrame, features: list[str], axis: Axis = TICKS, target: str = "ret_1m", round_dp: int | None = None,
 ) -> DataFrame:
     """Spearman correlation of every feature with one target over the rows complete in all of them."""
     axis = axis.measured(df)
-    whole = df.select(*axis.keys, *features, target).na.drop("any")
+    places = _places(df, axis)
+    whole = df.select(*axis.keys, *places, *features, target).na.drop("any", subset=[*axis.keys, *features, target])
+    if axis.fits:
+        # all ranks from one exchange; what is unpivoted is one row per key
+        ranked = average_rank(whole, axis, _ry=target, **{f"_r_{c}": c for c in features})
+        found = ranked.groupBy(*axis.keys).agg(F.count("*").alias("n_obs"), *[F.corr(f"_r_{c}", "_ry").alias(c) for c in features])
+        long = unpivot(found, [*axis.keys, "n_obs"], list(features), "feature", "_ic")
+        return long.select(*axis.keys, "feature", round_to(F.col("_ic"), round_dp).alias("ic"), "n_obs").orderBy(*axis.keys, F.desc("ic"))
     ranked = average_rank(whole, axis, _ry=target)
-    long = unpivot(ranked, [*axis.keys, "_ry"], list(features), "feature", "_x")
+    long = unpivot(ranked, [*axis.keys, *places, "_ry"], list(features), "feature", "_x")
     fine = axis.by("feature", groups=len(features))
     return (
         average_rank(long, fine, _rx="_x").groupBy(*fine.keys)

@@ -22,6 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POS = "_pos"
+
+
+def ordered_window(parts: tuple[str, ...] | list[str], order: tuple[str, ...] | list[str]) -> WindowSpec:
+    """A window that remembers its columns in ``parts`` and ``order``, for steps that cut its rows further."""
+    w = W.partitionBy(*parts).orderBy(*order)
+    w.parts, w.order = tuple(parts), tuple(order)
+    return w
+
+
 #: Column metadata under which an operator that adds rows marks the time column of its result.
 GROWN = "tickloom.grown"
 
@@ -84,7 +93,7 @@ class Axis:
         return replace(self, order=order)
 
     def window(self) -> WindowSpec:
-        return W.partitionBy(*self.keys).orderBy(*self.order)
+        return ordered_window(self.keys, self.order)
 
     def at(self, df: DataFrame) -> Column:
         """One comparable value holding the whole order, for ``min_by`` and ``max_by``.

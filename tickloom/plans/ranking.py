@@ -2,48 +2,49 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .axis import Axis
-from .layout import BROADCAST_ROWS, attach, materialise
+from .axis import POS, Axis
+from .layout import attach, materialise, number_rows
 from .running import running
 
 
-#: Places over which the rows of a frequent value are spread where frequent values are too many to broadcast.
-COPIES = 64
-
-
 def value_counts_upto(df: DataFrame, axis: Axis, x: str) -> DataFrame:
     """One row per distinct value of ``x`` in a key: its count and the count of values up to it."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*axis.keys, x).agg(F.count("*").alias("_same"))
     return running(counts, axis.ordered_by(x), _upto=("sum", "_same"))
 
 
-def _ranked_by_join(df: DataFrame, axis: Axis, x: str, name: str) -> DataFrame:
-    ranks = value_counts_upto(df, axis, x).select(
-        *axis.keys, x, "_same", (F.col("_upto") - (F.col("_same") - 1) / 2).alias(name)
+def _ranked_in_cuts(df: DataFrame, axis: Axis, x: str, name: str) -> DataFrame:
+    """One range sort by value numbers the known rows of each key, and equal cuts of the numbers are ranked on their own.
+
+    A row's rank is half-way between the first and the last number of its ties. Only the first and the last value of a
+    cut can have ties in other cuts; where those begin and end comes from a table with one row for each cut. Ties are
+    numbered by the axis' own order, as far as ``df`` has it, so a value with very many rows is sorted in as many pieces
+    as it needs.
+    """
+    places = [c for c in axis.order if c != x and c in df.columns]
+    known = number_rows(df.filter(F.col(x).isNotNull()), axis.ordered_by(x, *places))
+    cut, size = [*axis.keys, "_cut"], axis.rows_per_task
+    known = known.withColumn("_cut", F.expr(f"{POS} div {size}L"))
+    by_value = W.partitionBy(*cut).orderBy(x)
+    # the ordered frame ends after the last tie
+    ties = {"_first": F.col("_cut") * size + F.rank().over(by_value) - 1, "_last": F.col("_cut") * size + F.count(x).over(by_value) - 1}
+    edges = materialise(
+        known.select(*cut, x).withColumns(ties).groupBy(*cut)
+        .agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.min("_first").alias("_a"), F.min("_last").alias("_b"), F.max("_first").alias("_c"), F.max("_last").alias("_d"))
     )
-    on = [*axis.keys, x]
-    # A value with more rows than a task should hold would put them all in one task of a shuffle join. There are
-    # at most rows / rows_per_task of those values: they are broadcast, or, if even they are many, met in COPIES places.
-    rows = axis.total if axis.total is not None else axis.widest * axis.n_keys
-    often = ranks.filter(F.col("_same") > axis.rows_per_task).drop("_same")
-    seldom = ranks.filter(F.col("_same") <= axis.rows_per_task).drop("_same")
-    known = df.filter(F.col(x).isNotNull())
-    if rows <= axis.rows_per_task * BROADCAST_ROWS:
-        hot, rest = known.join(F.broadcast(often), on), known.join(F.broadcast(often), on, "left_anti")
-        found = hot.unionByName(rest.join(seldom, on), allowMissingColumns=True)
-    else:
-        place = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
-        both = seldom.withColumn("_copy", F.lit(-1)).unionByName(often.withColumn("_copy", place))
-        salted = known.withColumn("_any", F.pmod(F.xxhash64(*axis.keys, *axis.order), F.lit(COPIES)).cast("int"))
-        # each row asks once for its value as a seldom one and once, in its own place, as a frequent one
-        asked = salted.withColumn("_copy", F.explode(F.array(F.lit(-1), F.col("_any"))))
-        found = asked.join(both, [*on, "_copy"]).drop("_any", "_copy").select(*df.columns, name)
-    return found.unionByName(df.filter(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
+    ends = lambda value, first, last: edges.select(*axis.keys, F.col(value).alias("_v"), F.col(first).alias("_f"), F.col(last).alias("_l"))
+    spans = ends("_low", "_a", "_b").unionByName(ends("_high", "_c", "_d")).groupBy(*axis.keys, "_v").agg(F.min("_f").alias("_f"), F.max("_l").alias("_l"))
+    low, high = (spans.select(*axis.keys, F.col("_v").alias(f"_{s}"), F.col("_f").alias(f"_{s}_f"), F.col("_l").alias(f"_{s}_l")) for s in ("low", "high"))
+    edges = edges.select(*cut, "_low", "_high").join(low, [*axis.keys, "_low"]).join(high, [*axis.keys, "_high"])
+    rows = axis.total if axis.total is not None else axis.widest * (axis.n_keys or 1)
+    placed = attach(known.withColumns(ties), edges, tuple(cut), rows // size + (axis.n_keys or rows))
+    at = lambda side, own: F.when(F.col(x) == F.col("_low"), F.col(f"_low_{side}")).when(F.col(x) == F.col("_high"), F.col(f"_high_{side}")).otherwise(F.col(own))
+    ranked = placed.withColumn(name, (at("f", "_first") + at("l", "_last")) / 2 + 1).select(*df.columns, name)
+    return ranked.unionByName(df.filter(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def average_rank(df: DataFrame, axis: Axis, **ranks: str) -> DataFrame:
@@ -52,7 +53,7 @@ def average_rank(df: DataFrame, axis: Axis, **ranks: str) -> DataFrame:
     if not axis.fits:
         df = materialise(df)  # each rank below reads its input more than once
         for name, x in ranks.items():
-            df = _ranked_by_join(df, axis, x, name)
+            df = _ranked_in_cuts(df, axis, x, name)
         return df
     added = {}
     for name, x in ranks.items():

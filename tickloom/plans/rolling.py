@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .axis import POS, Axis
+from .axis import POS, Axis, ordered_window
 from .layout import number_rows
+from .orderstat import trailing_ranks
 
 
 def over_rows(
@@ -45,7 +47,7 @@ def over_rows(
         )
     )
     spread = rows.withColumn("_home", home).withColumn("_run", F.explode(runs))
-    built = build(spread, W.partitionBy(*axis.keys, "_run").orderBy(POS))
+    built = build(spread, ordered_window((*axis.keys, "_run"), (POS,)))
     out = built.filter("_run = _home").drop("_home", "_run")
     return out if laid_out else out.drop(POS)
 
@@ -138,8 +140,32 @@ def rolling_cov(a: str | Column, b: str | Column, w: WindowSpec, n: int) -> Colu
     return F.when(F.count(a * b).over(frame) >= n, F.covar_samp(a, b).over(frame))
 
 
+def with_rolling_ranks(df: DataFrame, w: WindowSpec, n: int, **ranks: str) -> DataFrame:
+    """Add ``name = column`` tie-averaged ranks of the current value among the known ones of its last ``n`` rows, over
+    their number; missing for a missing value.
+
+    Inside each part of ``w`` (a key, or the run of a large key) values are counted through a wavelet matrix: about
+    log2(rows) steps for a whole column, whatever ``n`` is.
+    """
+    schema = T.StructType([*[f for f in df.schema if f.name not in ranks], *[T.StructField(name, T.DoubleType()) for name in ranks]])
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in w_order])
+        found = {name: trailing_ranks(rows.column(x), n) for name, x in ranks.items()}
+        rows = rows.drop_columns([c for c in rows.column_names if c in ranks])
+        for name, values in found.items():
+            rows = rows.append_column(name, values)
+        return rows
+
+    w_order = w.order  # the window itself stays on the driver
+    return df.groupBy(*w.parts).applyInArrow(add, schema)
+
+
 def rolling_rank(x: str | Column, w: WindowSpec, n: int) -> Column:
-    """Tie-averaged rank of the current value in its trailing frame, over the frame's own length."""
+    """Tie-averaged rank of the current value in its trailing frame, over the frame's own length.
+
+    One expression, which compares the value with each of the ``n``; ``with_rolling_ranks`` does not.
+    """
     x = F.col(x) if isinstance(x, str) else x
     seen = F.collect_list(x).over(trailing(w, n))
     less = F.size(F.filter(seen, lambda v: v < x))
