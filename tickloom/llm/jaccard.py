@@ -19,10 +19,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, whole, written
 from .wordhash import BASES, Prefix, Words, chunks, mix, signed
 
 N_GRAM = 5
@@ -64,7 +64,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(n: int, bands: int, rows: int):
-    names = ["doc_id", "key1", "key2", "size", "bands"]
+    names = ["doc_id", "text_hash", "key1", "key2", "size", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(8128))
@@ -86,11 +86,11 @@ def _signatures(n: int, bands: int, rows: int):
                     np.multiply(v, a[j], out=v)
                     acc = mix(acc * np.uint64(BASES[0]) + np.minimum.reduceat(v, head))
                 out[:, band] = acc
-            ids = batch.column("doc_id").take(pa.array(at))
+            ids, text_hash = (batch.column(c).take(pa.array(at)) for c in ("doc_id", "text_hash"))
             keys = [signed(Prefix(h).run(w.first[at], w.first[at + 1])) for h in (w.hash, mix(w.hash))]
             lists = pa.ListArray.from_arrays(np.arange(0, len(head) * bands + 1, bands, dtype=np.int32), signed(out.ravel()))
             size = pa.array(np.fromiter(map(len, texts), np.int64, len(texts))[at])
-            yield pa.record_batch([ids, *keys, size, lists], names=names).filter(ids.is_valid())
+            yield pa.record_batch([ids, text_hash, *keys, size, lists], names=names).filter(ids.is_valid())
 
     return run
 
@@ -186,34 +186,39 @@ def similarity_groups(
     words, and ``n_links`` the number of other rows with similarity ``threshold`` or more, copies included. A text
     without words (null, empty, spaces) has no n-grams, no links, and is its own class. Rows without an id are left
     out, for nothing could name them. Rows that repeat an id and its text count as copies of each other; the id comes
-    once. Other columns are not looked at.
+    once. Of rows that repeat an id with other texts only those with the smallest text hash are compared. Other columns are
+    not looked at.
     """
     bands, rows = choose_bands(threshold, recall)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    known = written(source.mapInArrow(_signatures(n, bands, rows), "doc_id long, key1 long, key2 long, size long, bands array<long>"), "signatures")
-    classes = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    known = written(source.mapInArrow(_signatures(n, bands, rows), "doc_id long, text_hash long, key1 long, key2 long, size long, bands array<long>"), "signatures")
+    # a row of each id: that of the smallest text hash, with the number of rows that have it
+    row = known.groupBy("doc_id", "text_hash").agg(*[F.min(c).alias(c) for c in ("key1", "key2", "size")], F.count(F.lit(1)).alias("rows"))
+    row = row.groupBy("doc_id").agg(*[F.min_by(c, "text_hash").alias(c) for c in ("key1", "key2", "size", "rows")], F.min("text_hash").alias("text_hash"))
+    row = written(row, "rows_of_ids")
+    classes = row.groupBy("key1", "key2").agg(F.min("doc_id").alias("copy_id"), F.sum("rows").alias("copies"), F.max("size").alias("size"))
     # written, so that the join has two plain exchanges and a class of very many copies can be split
     classes = written(classes, "classes")
-    member = written(known.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "copy_id", "copies", classes["size"]).distinct(), "members")
-    first = member.where("doc_id = copy_id").select("doc_id", "copies", "size")
-    bucket = written(known.join(first.select("doc_id"), "doc_id").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
+    member = written(row.select("doc_id", "text_hash", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "text_hash", "copy_id", "copies", "size"), "members")
+    first = member.where("doc_id = copy_id").select("doc_id", "text_hash", "copies", "size")
+    bucket = written(known.join(first.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
     hubs = bucket.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
     stars = bucket.join(hubs, "bucket").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     label = components(stars)
-    label = label.join(first.withColumnRenamed("doc_id", "node"), "node")
+    label = label.join(first.withColumnRenamed("doc_id", "node"), "node")  # of each candidate
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
     placed = (
         label.join(label.groupBy("label").agg(blocks.alias("n_blocks")), "label")
-        .select(F.col("node").alias("doc_id"), F.col("label").alias("component"), "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+        .select(F.col("node").alias("doc_id"), "text_hash", F.col("label").alias("component"), "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
     )
     tasks = (
-        source.join(placed, "doc_id").dropDuplicates(["doc_id"])
+        source.join(placed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
         .select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "copies", "block", "text")
     )
     keys = ["component", "i", "j"]
     checked = written(
-        tasks.repartition(*keys).sortWithinPartitions(*keys)
+        tasks.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
         .mapInArrow(_verify(n, Fraction(threshold).limit_denominator(10**6)), "doc_id long, links long, root long"),
         "verified",
     )
@@ -232,12 +237,13 @@ def similarity_groups(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one with the smallest id; its columns are untouched.
 
-    Rows without an id stay, as nothing is known of them. Of rows that repeat an id one stays.
+    Rows without an id stay, as nothing is known of them. Of rows that repeat an id one stays, by the hash of its text and
+    then of its other columns (maps aside), so every run keeps the same.
     """
-    from pyspark.sql import Window
-
-    kept = similarity_groups(docs, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id"))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"))
-    again = Window.partitionBy("_kept_id").orderBy("_kept_id")
-    one = named.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again", "_kept_id")
+    kept = similarity_groups(docs, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = whole(docs, id=F.col(id_col).cast("long"), text_hash=F.xxhash64(text_col), row_hash=F.xxhash64(*plain))
+    named = rows.join(kept, F.col("id") == F.col("kept_id"))
+    again = Window.partitionBy("id").orderBy("text_hash", "row_hash")
+    one = named.withColumn("again", F.row_number().over(again)).where("again = 1").select("row.*")
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -72,23 +72,47 @@ def numbered(df: DataFrame, group: str, order: list[str], into: str) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node id that each node of the undirected ``edges`` (a, b) is connected with.
 
-    Labels travel along edges and then jump to their label's label, so rounds grow with the logarithm of the
-    longest chain. Every round is two joins and a minimum with partial aggregation, written to the shared folder;
-    only the number of changed labels reaches the driver.
+    First every node keeps one edge, to its smallest neighbour below it (its hub), and its other neighbours below are linked
+    with that hub: the same components, but a node that is nobody's hub has a single edge and takes no part in what
+    follows. Among hubs, labels travel along edges and then jump to their label's label, so rounds grow with the logarithm
+    of the longest chain. Every round is two joins and a minimum with partial aggregation, written to the shared
+    folder; only the number of changed labels reaches the driver.
     """
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    down = written(down.groupBy("a").agg(F.min("b").alias("hub"), F.collect_set("b").alias("below")), "hub_of_node")
+    links = written(down.select(F.explode("below").alias("a"), F.col("hub").alias("b")).distinct(), "hub_links")
+    hubs = written(links.select(F.col("a").alias("hub_id")).distinct(), "hubs")
+    is_hub = F.col("a") == F.col("hub_id")
+    above = down.select("a", F.col("hub").alias("b")).join(hubs, is_hub, "left_semi")
+    label = _spread(hubs.select(F.col("hub_id").alias("node")), links.where("a <> b").unionByName(above))
+    of_hub = label.select(F.col("node").alias("hub"), "label")
+    leaves = down.select("a", "hub").join(hubs, is_hub, "left_anti").join(of_hub, "hub").select(F.col("a").alias("node"), "label")
+    return label.unionByName(leaves)
+
+
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of ``nodes``, all ends of the ``edges`` (a, b) among them."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    both = written(both.distinct(), "edges")
+    low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    labels = written(nodes.join(low, "node", "left").select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
+        step = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         step = written(step.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), "old"), "labels")
-        changed = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
-        if not changed:
+        if step.where("label <> old").isEmpty():
             return labels
 
 
+def whole(docs: DataFrame, **columns: Column | str) -> DataFrame:
+    """``row``, all columns of ``docs`` as one struct, and the ``columns`` of an operator, whose names then clash with none of a user's.
+
+    ``select("row.*")`` gives the user's columns back as they were.
+    """
+    return docs.select(F.struct("*").alias("row"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
