@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import whole, written
 
 WINDOW = 13
 RAREST = 2
@@ -53,8 +53,8 @@ def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
 
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, doc_id, pos) of the ``wanted`` (term) in ``docs`` (doc_id, text)."""
-    each = docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    """(term, doc_id, text_hash, pos) of the ``wanted`` (term) in ``docs`` (doc_id, text, text_hash)."""
+    each = docs.select("doc_id", "text_hash", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
     return each.join(_small(wanted, "term"), "term")
 
 
@@ -73,47 +73,52 @@ def rarest_terms(distinct: DataFrame, counts: DataFrame, k: int = RAREST) -> Dat
 
 
 def _candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """(doc_id, start, phrase) where the rarest terms of the phrase stand at their offsets."""
-    met = index.join(_small(rare, "term", "phrase"), "term").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "needed", "offset")
+    """(doc_id, text_hash, start, phrase) where the rarest terms of the phrase stand at their offsets."""
+    met = index.join(_small(rare, "term", "phrase"), "term").select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "needed", "offset")
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset")))
-    met = met.where("start >= 0").groupBy("doc_id", "start", "phrase").agg(bits.alias("seen"), F.max("needed").alias("needed"))
-    return met.where(F.bit_count("seen") == F.col("needed")).select("doc_id", "start", "phrase")
+    met = met.where("start >= 0").groupBy("doc_id", "text_hash", "start", "phrase").agg(bits.alias("seen"), F.max("needed").alias("needed"))
+    return met.where(F.bit_count("seen") == F.col("needed")).select("doc_id", "text_hash", "start", "phrase")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where("doc_id IS NOT NULL")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Exact occurrences (doc_id, start, length, item_id) of the items' phrases in whole texts.
+    """Exact occurrences (doc_id, text_hash, start, length, item_id) of the items' phrases in whole texts.
 
-    Equal phrases of several items match for each. Null texts have no terms; rows without a document id are not matched.
+    A row is known by its id and its text's hash, so texts that share an id are kept apart. Equal phrases of several items
+    match for each. Null texts have no terms; rows without a document id are not matched.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    rows = _rows(docs, id_col, text_col)
     wanted = written(phrases(items, item_col, item_text, window), "phrases")
     distinct = wanted.select("phrase").distinct()
     vocabulary = written(distinct.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), "vocabulary")
     rare = written(rarest_terms(distinct, term_counts(rows, vocabulary)), "rarest")
     index = written(postings(rows, rare.select("term").distinct()), "postings")
     found = written(_candidates(index, rare), "candidates")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrase")).alias("c"))
-    checked = rows.join(per_doc, "doc_id").select("doc_id", terms(F.col("text")).alias("t"), "c")
-    checked = checked.select("doc_id", "t", F.explode("c").alias("c")).select("doc_id", "c.start", "c.phrase", F.array_join(F.slice("t", F.col("c.start") + 1, F.size(F.split("c.phrase", " "))), " ").alias("here"))
-    return checked.where("here = phrase").select("doc_id", "start", "phrase").distinct().join(wanted, "phrase").select("doc_id", "start", "length", "item_id")
+    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "phrase")).alias("c"))
+    checked = rows.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", terms(F.col("text")).alias("t"), "c")
+    checked = checked.select("doc_id", "text_hash", "t", F.explode("c").alias("c")).select("doc_id", "text_hash", "c.start", "c.phrase", F.array_join(F.slice("t", F.col("c.start") + 1, F.size(F.split("c.phrase", " "))), " ").alias("here"))
+    return checked.where("here = phrase").select("doc_id", "text_hash", "start", "phrase").distinct().join(wanted, "phrase").select("doc_id", "text_hash", "start", "length", "item_id")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Windows (doc_id, start, length, item_id) of phrase length plus ``slop`` terms that start with a phrase term and hold all terms of the phrase, in any order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    """Windows (doc_id, text_hash, start, length, item_id) of phrase length plus ``slop`` terms that start with a phrase term and hold all terms of the phrase, in any order."""
+    rows = _rows(docs, id_col, text_col)
     wanted = written(phrases(items, item_col, item_text, window), "phrases")
     distinct = wanted.select("phrase", "length").distinct()
     vocabulary = written(distinct.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), "vocabulary")
     rare = rarest_terms(distinct, term_counts(rows, vocabulary), 1).select("phrase", "term")
     rare = written(rare.join(distinct, "phrase"), "rarest")
     index = written(postings(rows, rare.select("term").distinct()), "postings")
-    near = index.join(_small(rare, "term", "phrase"), "term").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "phrase", "length")).alias("c"))
-    opened = rows.join(near, "doc_id").select("doc_id", terms(F.col("text")).alias("t"), F.explode("c").alias("c"))
+    near = index.join(_small(rare, "term", "phrase"), "term").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "phrase", "length")).alias("c"))
+    opened = rows.join(near, ["doc_id", "text_hash"]).select("doc_id", "text_hash", terms(F.col("text")).alias("t"), F.explode("c").alias("c"))
     span = F.col("c.length") + slop
     first = F.explode(F.sequence(F.greatest(F.lit(0), F.col("c.pos") - span + 1), F.col("c.pos"))).alias("start")
-    tried = opened.select("doc_id", "t", F.col("c.phrase").alias("phrase"), F.split("c.phrase", " ").alias("p"), span.alias("span"), first)
+    tried = opened.select("doc_id", "text_hash", "t", F.col("c.phrase").alias("phrase"), F.split("c.phrase", " ").alias("p"), span.alias("span"), first)
     holds = (F.size(F.array_except("p", F.slice("t", F.col("start") + 1, F.col("span")))) == 0) & F.array_contains("p", F.get("t", F.col("start")))
-    return tried.where(holds).select("doc_id", "start", "phrase", F.col("span").alias("length")).distinct().join(wanted.drop("length"), "phrase").select("doc_id", "start", "length", "item_id")
+    return tried.where(holds).select("doc_id", "text_hash", "start", "phrase", F.col("span").alias("length")).distinct().join(wanted.drop("length"), "phrase").select("doc_id", "text_hash", "start", "length", "item_id")
 
 
 def _covered(spans: Column) -> Column:
@@ -129,21 +134,23 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted as strings), contaminated.
+    """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, items (sorted as strings), contaminated.
 
     A text is contaminated if a phrase occurs and at least a twentieth of its words lie in occurrences. Null and empty texts
-    have no words and are clean; so are rows without an id. Other columns are not looked at.
+    have no words and are clean; so are rows without an id. Rows that share an id are judged each by its own text. Other columns are not looked at.
     """
     hits = phrase_matches(docs, items, id_col, text_col, item_col, item_text, window)
-    hits = hits.groupBy("doc_id").agg(_covered(F.collect_set(F.struct("start", "length"))).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_terms(F.col(text_col)).alias("n_words"))
+    hits = hits.groupBy("doc_id", "text_hash").agg(_covered(F.collect_set(F.struct("start", "length"))).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), n_terms(F.col(text_col)).alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(hits, "doc_id", "left").select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated")
+    return rows.join(hits, ["doc_id", "text_hash"], "left").select(
+        "doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated")
     )
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without its contaminated rows; columns as they are. Rows without an id stay."""
-    bad = contamination(docs, items, id_col, **options).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad_id"), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without its contaminated rows; columns as they are, whatever their names. Rows without an id stay, and so does
+    a clean row that shares its id with a contaminated one."""
+    bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = whole(docs, id=id_col, hash=F.xxhash64(text_col))
+    return rows.join(bad, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")
