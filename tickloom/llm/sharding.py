@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, utf8_size, written
+from .shared import numbered, utf8_size, whole, written
 
 ROW_BYTES = 16
 #: Bits of the splitting key settled by one histogram.
@@ -157,13 +157,12 @@ def with_shards(docs: DataFrame, n_shards: int, **columns: str) -> DataFrame:
     """``docs`` and its ``shard``, an int from 0; no row moves for it.
 
     Null texts weigh ``ROW_BYTES``; null sources, languages and ids are values like any other. Equal rows stay together, as nothing
-    tells them apart; other ties are broken by a hash of id and text. A column named ``shard`` is replaced.
+    tells them apart; other ties are broken by a hash of id and text. A column named ``shard`` is replaced; others keep name and values.
     """
     space = points(docs, **columns)
     tree = build_tree(written(docs.select(*[c.alias(n) for n, c in space.items()]), "points"), n_shards)
-    names = docs.columns
-    placed = tree.leaves(docs.withColumns(space))
-    return placed.select(*[n for n in names if n != "shard"], F.col("_node").cast("int").alias("shard"))
+    placed = tree.leaves(whole(docs, **space))
+    return placed.select(*[F.col("row").getField(n).alias(n) for n in docs.columns if n != "shard"], F.col("_node").cast("int").alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, target_bytes: int, **columns: str) -> int:
