@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import jaccard, sharding, substring
 from tickloom.llm.catalog import QUERIES
+from tickloom.llm.shared import components
 from tickloom.llm.wordhash import Words, sliding_min
 
 
@@ -173,3 +174,36 @@ def test_sharding_edge_cases(spark, nasty, empty, tmp_path):
     n = sharding.write_shards(nasty, str(tmp_path / "shards"), 200_000)
     again = spark.read.parquet(str(tmp_path / "shards"))
     assert n > 1 and again.count() == nasty.count() and again.select("shard").distinct().count() <= n
+
+
+def test_a_large_component_of_stars(spark):
+    """20,000 nodes with several hubs each, and a chain: labels are those of plain search; most nodes keep one edge."""
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a in range(30, 20_000) for b in rng.integers(0, 30, 4)] + [(30_000 + i, 30_001 + i) for i in range(40)] + [(5, 5)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(20_000)}, **{30_000 + i: 30_000 for i in range(41)}}
+
+
+def test_components_equal_search(spark):
+    rng = np.random.default_rng(7)
+    for n, m in ((40, 25), (300, 290), (3, 1)):
+        edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        want = {x: root[x] for a, b in edges if a != b for x in (a, b)}
+        assert {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_repeated_ids_are_decided_by_their_text(spark):
+    """Two texts under one id: every run compares, and keeps, the one with the smaller hash."""
+    lorem = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, lorem, "x"), (1, "quite another text of some words here", "y"), (2, lorem, "z")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, text_hash string").repartition(2)
+        chosen = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.similarity_groups(docs).collect()}
+        assert got == ({1: (1, 1), 2: (1, 1)} if chosen == lorem else {1: (1, 0), 2: (2, 0)})
+        kept = jaccard.one_of_each(docs)
+        assert kept.columns == docs.columns and kept.where("doc_id = 1").first()["text"] == chosen

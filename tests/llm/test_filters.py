@@ -212,3 +212,36 @@ def test_pipeline_edge_cases(spark, nasty, empty, folder):
 def test_native_operators_run_no_python(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|BatchEval", plan)
+
+
+def test_a_clean_row_with_a_contaminated_rows_id_stays(spark):
+    item = " ".join(f"q{i}" for i in range(36))
+    clean = " ".join(f"c{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, item, "a"), (1, clean, "b"), (1, clean, "c"), (2, clean + " " + item, "d")], "doc_id long, text string, text_hash string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(1, 36, 36, True), (1, 120, 0, False), (1, 120, 0, False), (2, 156, 36, True)]
+    assert sorted(r["text_hash"] for r in decontaminate.without_contaminated(docs, bench).collect()) == ["b", "c"]
+
+
+#: Names that operators of the stages use inside, or once used.
+INSIDE = (
+    "share _bad_id _of _size _node _tie _p_lang _dim _g _p _h _piece _before _row _slot _source row key id hash place blocks slot text_hash row_hash "
+    "kept_id again label n_words"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, folder, tmp_path_factory):
+    """The documents with a column of each of these names, as a stage reads them."""
+    path = str(tmp_path_factory.mktemp("names") / "documents")
+    spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in INSIDE}).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_leave_columns_of_any_name_alone(spark, folder, clashing, stage):
+    out = dict(corpus_pipeline.STAGES)[stage](spark, clashing, folder)
+    assert out.columns == [*clashing.columns, *(["shard"] if stage == "shards" else [])]
+    rows = out.select("doc_id", *INSIDE).collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in INSIDE)

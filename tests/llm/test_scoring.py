@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import cascade, mixing, quality_model, tokens
 from tickloom.llm.catalog import QUERIES
@@ -114,26 +115,48 @@ def test_token_edge_cases(nasty, empty):
     assert tokens.token_counts(empty, model_path()).count() == 0
 
 
-def edf(shares, period):
-    """Slots of one period by the plain rule."""
-    done, run = dict.fromkeys(shares, 0), []
-    for t in range(period):
-        released = [(-(-(done[s] + 1) * period // shares[s]), s) for s in shares if done[s] * period < (t + 1) * shares[s]]
-        run.append(min(released)[1])
-        done[run[-1]] += 1
+def edf(shares, slots):
+    """(source, k) of every slot by the plain rule, ties by release and then by name."""
+    total, done, run = sum(shares.values()), dict.fromkeys(shares, 0), []
+    for t in range(slots):
+        released = [(min(-(-(done[s] + 1) * total // shares[s]), slots + 1), done[s] * total // shares[s], s) for s in shares if done[s] * total // shares[s] <= t]
+        source = min(released)[2]
+        run.append((source, done[source]))
+        done[source] += 1
     return run
 
 
-def test_period_is_earliest_deadline_first(spark):
-    shares = {"a": 41, "b": 7, "c": 1, "d": 51}
-    df = spark.createDataFrame(list(shares.items()), "source string, share int")
-    rows = sorted((r["slot"], r["source"], r["turn"]) for r in mixing.period_schedule(df, 100).collect())
-    assert [s for _, s, _ in rows] == edf(shares, 100)
+@pytest.mark.parametrize("stretch_bits", [16, 3])
+@pytest.mark.parametrize("shares, slots", [
+    ({"a": 41, "b": 7, "c": 1, "d": 51}, 100),
+    ({"hot": 1000, **{f"s{i:03d}": 1 + i % 3 for i in range(300)}}, 700),
+    ({"one": 5}, 9),
+    ({"x": 3, "y": 7, "z": 11}, 64),
+])
+def test_schedule_is_earliest_deadline_first(spark, monkeypatch, shares, slots, stretch_bits):
+    monkeypatch.setattr(mixing, "STRETCH_BITS", stretch_bits)
+    total = sum(shares.values())
+    rows = mixing.edf_schedule(spark.createDataFrame(list(shares.items()), "key string, share long"), total, slots).collect()
+    rows.sort(key=lambda r: r["slot"])
+    assert [(r["key"], r["k"]) for r in rows] == edf(shares, slots)
+    assert [r["slot"] for r in rows] == list(range(slots))
     done = Counter()
-    for t, s, turn in rows:
-        assert turn == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - (t + 1) * w / 100) < 1 for x, w in shares.items())
+    for r in rows:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        done[r["key"]] += 1
+        assert all(abs(done[x] * total - (r["slot"] + 1) * w) < total for x, w in shares.items())
+
+
+def test_very_many_sources_keep_their_weights(spark):
+    """100,000 sources of one block beside a hot one that has a third of all blocks: no slot is lent to anyone."""
+    n, hot = 100_000, 50_000
+    sources = spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("share"))
+    sources = sources.unionByName(spark.createDataFrame([("hot", hot)], "key string, share long"))
+    out = mixing.edf_schedule(sources, n + hot, n + hot)
+    facts = out.agg(F.count("*"), F.countDistinct("slot"), F.countDistinct("key"), F.count_if((F.col("slot") < F.col("release")) | (F.col("slot") >= F.col("deadline")))).first()
+    assert tuple(facts) == (n + hot, n + hot, n + 1, 0)
+    at = [r["slot"] for r in out.where("key = 'hot'").orderBy("slot").select("slot").collect()]
+    assert all(abs(k + 1 - (t + 1) / 3) < 1 and abs(k - t / 3) < 1 for k, t in enumerate(at))
 
 
 def test_mix_query(spark, folder):
@@ -148,7 +171,7 @@ def test_mix_goes_on_until_every_source_is_used(spark):
     rows = [(i, "big") for i in range(200)] + [(1000 + i, "small") for i in range(30)] + [(2000, None), (2000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     shares = spark.createDataFrame([("big", 5), ("small", 4), (None, 1)], "source string, share int")
-    got = mixing.mix(docs, shares, period=10, block_rows=1).collect()
+    got = mixing.mix(docs, shares, block_rows=1).collect()
     assert Counter(r["doc_id"] for r in got if r["source"] == "big") == Counter(range(200))
     slots = sorted((r["_slot"], r["source"]) for r in got)
     assert [s for s, _ in slots] == list(range(slots[-1][0] + 1))
@@ -166,9 +189,12 @@ def test_mix_edge_cases(spark, nasty, empty):
     out = mixing.mix(nasty)
     assert {r["doc_id"] for r in out.collect()} == {*range(1, 11), None}
     assert mixing.mix(empty).count() == 0
-    assert mixing.tempered_shares(nasty).groupBy().sum("share").first()[0] == mixing.PERIOD
+    shares = {r["source"]: r["share"] for r in mixing.tempered_shares(nasty, block_rows=1).collect()}
+    assert abs(sum(shares.values()) - mixing.RESOLUTION) < 9 and max(shares, key=shares.get) == "a"
     with pytest.raises(Exception, match="no share"):
-        mixing.mix(nasty, spark.createDataFrame([("a", mixing.PERIOD)], "source string, share int")).count()
+        mixing.mix(nasty, spark.createDataFrame([("a", 7)], "source string, share int")).count()
+    replaced = mixing.mix(nasty.withColumns({"_slot": F.lit("mine"), "share": F.lit("x")}))
+    assert dict(replaced.dtypes)["_slot"] == "bigint" and replaced.where("share = 'x'").count() == nasty.count()
 
 
 def test_numbers_are_gapless_in_a_hot_group(spark):
