@@ -32,8 +32,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix; a source whose weight asks for more than it has comes again."""
-    mixed = mixing.mix(docs).repartitionByRange("_slot").sortWithinPartitions("_slot")
-    return mixed.select(*docs.columns)
+    return mixing.in_mix_order(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
