@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import models
 from tickloom.operators.normalize import normalize_features
-from tickloom.plans import Axis, Rolling, average_rank, over_rows, rolling_rank, with_rolling
+from tickloom.plans import Axis, Rolling, average_rank, over_rows, quantiles, ranking, rolling_rank, with_rolling
 from tickloom.plans.orderstat import count_below, trailing_ranks
 
 SCHEMA = "symbol string, ts long, seq long, x double, y double, k long"
@@ -211,3 +211,27 @@ def test_unit_root_rows_carry_no_arrays(spark):
     df = spark.createDataFrame([("A", i, i, float(i % 7), None, 0) for i in range(50)], SCHEMA)
     plan = plan_of(models.unit_root(df, Axis().measured(df), "x"))
     assert "MapInPandas" not in plan and "FlatMapGroups" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("parts", [50, 2_000])
+def test_quantiles_of_large_keys_from_brackets(spark, monkeypatch, parts):
+    """Hot values, missing values, a key without any and brackets much smaller than a key."""
+    monkeypatch.setattr(ranking, "SKETCH_PARTS", parts)
+    rng = random.Random(6)
+    rows = [("A", i, i, rng.choice([5.0, rng.gauss(0, 1), None]), 1.0, i % 7) for i in range(4000)] + [("B", i, i, float(i), None, 0) for i in range(9)] + [("C", 0, 0, None, 2.0, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    probs = [0.0, 0.001, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    for x in ("x", "y", "k"):
+        split = {r["symbol"]: r["q"] for r in quantiles(df, Axis(rows_per_task=2_000), x, probs).collect()}
+        plain = {r["symbol"]: r["q"] for r in quantiles(df, Axis(), x, probs).collect()}
+        assert set(split) == set(plain)
+        for symbol, want in plain.items():
+            assert split[symbol] == (want if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_quantiles_shuffle_their_brackets_only(spark):
+    df = spark.range(200_000).select(F.lit("A").alias("symbol"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.rand(5).alias("x"))
+    axis = Axis(rows_per_task=20_000).measured(df)
+    inside = ranking._bracketed(df, axis, "x", [0.01, 0.5, 0.99])
+    assert 0 < inside.count() < 0.02 * 200_000
+    assert "rangepartitioning" not in plan_of(quantiles(df, axis, "x", [0.5]))

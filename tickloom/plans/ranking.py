@@ -63,30 +63,60 @@ def average_rank(df: DataFrame, axis: Axis, **ranks: str) -> DataFrame:
     return df.withColumns(added)
 
 
+#: Rank error of the sketch that brackets a quantile, as one part in so many; finer for keys whose brackets would not fit in a task.
+SKETCH_PARTS = 2_000
+
+
+def _sketch_parts(axis: Axis) -> int:
+    return max(SKETCH_PARTS, -(-8 * (axis.widest or 0) // axis.rows_per_task))
+
+
+def _bracketed(df: DataFrame, axis: Axis, x: str, probs: list[float]) -> DataFrame:
+    """(keys, i, value, count, upto): the distinct values in the bracket of the i-th quantile, and how many are not above.
+
+    A sketch per key, merged across tasks, names two values between which each quantile must lie. One pass over the rows
+    then counts what is below each bracket and keeps what is inside, equal values as one; only that is shuffled. A bracket
+    reaches twice the sketch's error to both sides, so keys need more than twice as many values as the sketch has parts.
+    """
+    parts = _sketch_parts(axis)
+    ends = [min(1.0, max(0.0, p + side * 2 / parts)) for p in probs for side in (-1, 1)]
+    known = df.filter(F.col(x).isNotNull()).select(*axis.keys, F.col(x).alias("_x"))
+    cuts = known.groupBy(*axis.keys).agg(F.percentile_approx("_x", ends, parts).alias("_cuts"))
+    near = F.array(
+        *[
+            F.when(F.col("_x") <= F.get("_cuts", F.lit(2 * i + 1)), F.struct(F.lit(i).alias("_i"), F.when(F.col("_x") >= F.get("_cuts", F.lit(2 * i)), F.col("_x")).alias("_v")))
+            for i in range(len(probs))
+        ]
+    )
+    met = attach(known, cuts, axis.keys, axis.n_keys).select(*axis.keys, F.explode(F.array_compact(near)).alias("_m")).select(*axis.keys, "_m.*")
+    counts = met.groupBy(*axis.keys, "_i", "_v").agg(F.count("*").alias("_same"))
+    upto = W.partitionBy(*axis.keys, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    return counts.withColumn("_upto", F.sum("_same").over(upto)).filter(F.col("_v").isNotNull())
+
+
 def quantiles(df: DataFrame, axis: Axis, x: str, probs: list[float], name: str = "q") -> DataFrame:
-    """Exact, linearly interpolated quantiles of ``x`` per key as an array column."""
+    """Exact, linearly interpolated quantiles of ``x`` per key as an array column; null for a key without known values."""
     axis = axis.measured(df)
     if axis.fits:
         return df.groupBy(*axis.keys).agg(F.percentile(x, F.array(*map(F.lit, probs))).alias(name))
-    upto = value_counts_upto(df, axis, x)
     sizes = df.groupBy(*axis.keys).agg(F.count(x).alias("_n"))
-    placed = attach(upto, sizes, axis.keys, axis.n_keys)
+    few = F.col("_n") <= 2 * _sketch_parts(axis)
+    # a key with so few values is a small group; for the others the sketch's bound is worth more than a rank
+    met = attach(df.select(*axis.keys, x), sizes, axis.keys, axis.n_keys)
+    small = met.filter(few).groupBy(*axis.keys).agg(F.percentile(x, F.array(*map(F.lit, probs))).alias(name))
+    placed = attach(sizes.filter(~few), _bracketed(met.filter(~few), axis, x, probs), axis.keys, None)
 
-    def value_at(index):
-        holds = (F.col("_upto") - F.col("_same") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(holds, F.col(x)))
+    def value_at(i, index):
+        holds = (F.col("_i") == i) & (F.col("_upto") - F.col("_same") <= index) & (index < F.col("_upto"))
+        return F.max(F.when(holds, F.col("_v")))
 
     spots = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     ends = []
     for i, spot in enumerate(spots):
-        ends += [value_at(F.floor(spot)).alias(f"_lo{i}"), value_at(F.ceil(spot)).alias(f"_hi{i}")]
+        ends += [value_at(i, F.floor(spot)).alias(f"_lo{i}"), value_at(i, F.ceil(spot)).alias(f"_hi{i}")]
     found = placed.groupBy(*axis.keys).agg(F.max("_n").alias("_n"), *ends)
-    return found.select(
-        *axis.keys,
-        F.array(
-            *[
-                F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot))
-                for i, spot in enumerate(spots)
-            ]
-        ).alias(name),
-    )
+    # a bracket that missed its quantile would break the sketch's bound; the job stops rather than answer
+    held = F.greatest(*[F.col(c).isNull().cast("int") for i in range(len(probs)) for c in (f"_lo{i}", f"_hi{i}")], F.lit(0))
+    checked = F.coalesce(F.assert_true(held == 0, F.lit("a quantile lies outside its bracket")).cast("int"), F.lit(0)) == 0
+    lies = lambda i, spot: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot))
+    return small.unionByName(found.filter(checked).select(*axis.keys, F.array(*[lies(i, spot) for i, spot in enumerate(spots)]).alias(name)))
