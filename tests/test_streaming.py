@@ -7,6 +7,7 @@ from tickloom import streaming
 from tickloom.functions import mid_price, trade_side
 from tickloom.operators import bars, clean, ofi, orderbook
 from tickloom.sources import market_table
+from tickloom.streaming.ordered import BUCKET_US, WaitingRows
 
 LATE = "2 hours"
 
@@ -111,3 +112,55 @@ def test_volume_bar_stream(spark, folder, tmp_path):
     out = run(spark, lambda s: streaming.volume_bar_stream(s, 500, LATE), ticks.schema, path, tmp_path, "live_volume_bars")
     batch = bars.volume_bars(ticks, threshold=500, keep_id=True)
     check(out, batch, ["symbol", "ts", "bar_id", "open", "high", "low", "close", "total_volume", "vwap"])
+
+
+class _Map:
+    """A map state that counts the rows read from it."""
+
+    def __init__(self):
+        self.held, self.read = {}, 0
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        value = self.held[key]
+        self.read += len(value[0]) if isinstance(value[0], list) else 0
+        return value
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+
+class _Handle:
+    def getMapState(self, name, key, value):
+        return _Map()
+
+
+def test_a_timer_reads_the_rows_that_are_due():
+    """Rows of an hour wait; each timer reads those of its own ten seconds, not all that wait."""
+    waiting = WaitingRows(_Handle(), "us bigint, seq bigint, price double")
+    rows = [(i * 100_000, i, float(i)) for i in range(36_000)]
+    for start in range(0, len(rows), 7_000):
+        waiting.add(rows[start : start + 7_000][::-1])
+    out, most = [], 0
+    for until in range(0, 3_600_000_001, 5_000_000):
+        before = waiting.rows.read
+        out += waiting.take(until)
+        most = max(most, waiting.rows.read - before)
+    assert out == rows and not waiting.rows.held and not waiting.parts.held
+    assert most <= 100 and waiting.rows.read <= 1.6 * len(rows)
+
+
+def test_late_parts_of_a_bucket_come_in_order():
+    waiting = WaitingRows(_Handle(), "us bigint, seq bigint")
+    waiting.add([(25, 2), (5, 1), (BUCKET_US + 1, 3)])
+    waiting.add([(5, 0), (-3, 9)])
+    assert waiting.take(25) == [(-3, 9), (5, 0), (5, 1)]
+    assert waiting.take(25) == [] and waiting.take(BUCKET_US + 2) == [(25, 2), (BUCKET_US + 1, 3)]

@@ -2,7 +2,8 @@
 
 A micro-batch holds a symbol's rows in any order, and later batches may hold earlier rows.
 Rows therefore wait in state until the watermark has passed them; an event-time timer then
-hands them over, sorted by (ts, seq), exactly once.
+hands them over, sorted by (ts, seq), exactly once. They wait in buckets of event time, so a timer reads the buckets
+that are due and no row that is not yet, save those of the bucket in which the watermark stands.
 """
 
 from __future__ import annotations
@@ -18,6 +19,40 @@ def _plain(row) -> tuple:
     return tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
 
 
+#: Event time that a bucket of waiting rows covers.
+BUCKET_US = 10_000_000
+
+
+class WaitingRows:
+    """Rows by bucket of event time. A batch adds one part to each bucket it has rows for and rewrites none."""
+
+    def __init__(self, handle: StatefulProcessorHandle, fields: str):
+        rows = ",".join(":".join(f.split()) for f in fields.split(","))
+        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
+        self.rows = handle.getMapState("rows", "bucket bigint, part bigint", f"rows array<struct<{rows}>>")
+
+    def add(self, rows: list[tuple]) -> None:
+        buckets: dict[int, list[tuple]] = {}
+        for row in rows:
+            buckets.setdefault(row[0] // BUCKET_US, []).append(row)
+        for bucket, held in buckets.items():
+            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+            self.rows.updateValue((bucket, n), (held,))
+            self.parts.updateValue((bucket,), (n + 1,))
+
+    def take(self, until: int) -> list[tuple]:
+        """Remove the rows before ``until`` and return them in order."""
+        ready, wait = [], []
+        for bucket in sorted(b for (b,) in self.parts.keys() if b * BUCKET_US < until):
+            for part in range(self.parts.getValue((bucket,))[0]):
+                for row in self.rows.getValue((bucket, part))[0]:
+                    (ready if row[0] < until else wait).append(tuple(row))
+                self.rows.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
+        self.add(wait)
+        return sorted(ready, key=lambda row: (row[0], row[1]))
+
+
 class OrderedProcessor(StatefulProcessor):
     """Holds rows back until they are complete, then passes them to ``advance`` in order."""
 
@@ -28,7 +63,7 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.waiting)
+        self.pending = WaitingRows(handle, self.waiting)
         self.open_state(handle)
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
@@ -47,7 +82,7 @@ class OrderedProcessor(StatefulProcessor):
             # whole microseconds, which no time zone setting of a worker can shift
             us = (batch["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
             values = batch.drop(columns="symbol").assign(ts=us)
-            self.pending.appendList([_plain(v) for v in values.itertuples(index=False, name=None)])
+            self.pending.add([_plain(v) for v in values.itertuples(index=False, name=None)])
             latest = int(us.max()) if latest is None else max(latest, int(us.max()))
         if latest is not None:
             # one millisecond up, so that every row of the millisecond is behind the watermark
@@ -55,15 +90,7 @@ class OrderedProcessor(StatefulProcessor):
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready, wait = [], []
-        for row in self.pending.get() if self.pending.exists() else ():
-            (ready if row[0] < until else wait).append(tuple(row))
-        if wait:
-            self.pending.put(wait)
-        else:
-            self.pending.clear()
-        ready.sort(key=lambda row: (row[0], row[1]))
+        ready = self.pending.take(expiredTimerInfo.getExpiryTimeInMs() * 1000)
         yield self._frame(self.advance(key[0], ready) if ready else [])
 
     def close(self) -> None:
