@@ -322,10 +322,38 @@ def feature_pipeline(spark, folder):
     return ic.join(broken, "symbol").withColumn("passed", F.col("violations") == 0)
 
 
-@query()
+def eliminated(columns: list[str], target: str, carried: str, source: str) -> dict[str, str]:
+    """Steps to ``left``: ``target`` less its regression on the columns over the rows that ``fit`` marks, for all rows.
+
+    One column after another is taken out of those that follow, with sums per symbol over the marked rows.
+    """
+    steps = {}
+    for i, c in enumerate(columns):
+        out = ", ".join(f"{x} - {c} * sum({x} * {c}) FILTER (fit) OVER s / sum({c} * {c}) FILTER (fit) OVER s AS {x}" for x in [*columns[i + 1 :], target])
+        steps[f"less{i + 1}"] = f"SELECT symbol, fit, {carried}, {out} FROM {source if i == 0 else f'less{i}'} WINDOW s AS (PARTITION BY symbol)"
+    return steps
+
+
+_F = list(features.FEATURES)
+#: A penalty of one is a row for each feature that holds one there and nothing else.
+RIDGE16 = WHOLE_STEPS | {
+    "cut": f"""SELECT symbol, {', '.join(f'round({c}, 12)::DOUBLE AS {c}' for c in [*_F, 'ret_1m'])}, row_number() OVER {W} <= floor(0.7 * count(*) OVER (PARTITION BY symbol)) AS is_train FROM whole""",
+    "fitted": f"SELECT symbol, {', '.join(f'avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}' for c in _F)}, avg(ret_1m) AS my, count(*) AS n_train FROM cut WHERE is_train GROUP BY symbol",
+    "scaled": f"""SELECT symbol, is_train AS fit, NOT is_train AS test, ret_1m AS y, ret_1m - my AS e, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _F)} FROM cut JOIN fitted USING (symbol)
+UNION ALL SELECT symbol, true, false, 0, 0, {', '.join(f'CASE WHEN i = {i} THEN 1 ELSE 0 END' for i in range(len(_F)))} FROM fitted, generate_series(0, {len(_F) - 1}) AS g(i)""",
+    **eliminated(_F, "e", "test, y", "scaled"),
+    "tested": f"SELECT symbol, y, e, y - e AS yhat FROM less{len(_F)} WHERE test",
+    "ranks": f"SELECT *, {avg_rank('round(yhat, 13)', 'symbol')} AS rx, {avg_rank('y', 'symbol')} AS ry FROM tested",
+}
+
+
+@query(over("ticks", f"""
+SELECT symbol, {r('corr(rx, ry)', 4)} AS oos_ic, {r('1 - sum(e * e) / (var_pop(y) * count(y))', 4)} AS oos_r2, n_train, count(*) AS n_test
+FROM ranks JOIN (SELECT symbol, n_train FROM fitted) USING (symbol) GROUP BY symbol, n_train""", **RIDGE16))
 def ridge_baseline(spark, folder):
     df, axis = table(spark, folder, "ticks")
-    return rounded(models.ridge_baseline(features.lagged_feature_table(df, axis), list(features.FEATURES), axis), 4)
+    d = features.lagged_feature_table(df, axis).withColumns({c: F.round(c, 12) for c in (*features.FEATURES, "ret_1m")})
+    return rounded(models.ridge_baseline(d, list(features.FEATURES), axis), 4)
 
 
 RIDGE2 = {
