@@ -80,23 +80,6 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, axis: Axis = TICK
     return cells.groupBy(*axis.keys).applyInPandas(solve, schema)
 
 
-def _moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """``n``, sums and products (upper triangle, row by row) of the columns per group, in one aggregate."""
-    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)]
-    products = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"_p{k}") for k, (i, j) in enumerate(cells)]
-    added = df.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products)
-    return added.select(
-        *by, "n", F.array(*[f"_s{i}" for i in range(len(columns))]).alias("sums"), F.array(*[f"_p{k}" for k in range(len(cells))]).alias("products")
-    )
-
-
-def _square(products, p: int) -> np.ndarray:
-    full = np.zeros((p, p))
-    full[np.triu_indices(p)] = products
-    return full + np.triu(full, 1).T
-
-
 def _split_and_centred(df: DataFrame, columns: list[str], axis: Axis, train: float) -> DataFrame:
     """``is_train`` and each column less its mean over the key."""
     if axis.fits:
@@ -113,15 +96,16 @@ def ridge_baseline(
 ) -> DataFrame:
     """Fit on the first rows of each key, scaled by their mean and population std; report rank IC and R² on the rest.
 
-    One aggregate of sums and products per (key, split) holds all that scaling, fit and R² need; a second pass over the
+    One matrix of sums and products per (key, split), added up in the tasks, holds all that scaling, fit and R² need; a second pass over the
     test rows gives the rank IC. A key too short to be fitted or scored stays in the report with missing scores.
     """
     axis = axis.measured(df)
     columns, keys, p = [*features, target], list(axis.keys), len(features)
     whole = df.select(*keys, *axis.order, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
-    # both passes read these rows: from one exchange where keys are small, from a written table where they are split
-    d = _split_and_centred(whole.repartition(*keys) if axis.fits else materialise(whole), columns, axis, train)
-    moments = _moments(d, [*keys, "is_train"], columns)
+    # both passes read these rows: written once, they carry no plan of how the features were made
+    d = _split_and_centred(materialise(whole), columns, axis, train)
+    row = F.array(F.lit(1.0), *columns).alias("_row")
+    moments = cross_products(d.select(*keys, "is_train", row), (*keys, "is_train"), "_row")
     fields = [df.schema[k] for k in keys]
     schema = T.StructType(
         [
@@ -131,7 +115,10 @@ def ridge_baseline(
     )
 
     def solve(key, parts):
-        sides = {bool(r["is_train"]): (r["n"], np.array(r["sums"]), _square(r["products"], p + 1)) for _, r in parts.iterrows()}
+        sides = {}
+        for side, cells in parts.groupby("is_train"):
+            g = cells.sort_values("cell")["value"].to_numpy().reshape(p + 2, p + 2)
+            sides[bool(side)] = int(round(g[0, 0])), g[0, 1:], g[1:, 1:]
         blank = (0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
         (n, sums, g), (n_test, test, gt) = sides.get(True, blank), sides.get(False, blank)
         if not n:
