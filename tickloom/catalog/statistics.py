@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import features, models, ofi, stats, validate
 from ..plans import Axis, materialise, quantiles
+from ..sources import read_parquet, write_parquet
 from .base import W, WD, over, query, r, rounded, student_tail, table
 from .cleaning_and_bars import SIGNALS, ofi_signals
-from .selection import RET, SIZE_OFI, daily_returns
+from .selection import RET, SIZE_OFI, _scratch, daily_returns
 from .tables_and_targets import INVARIANTS, LAGGED_STEPS, WHOLE_STEPS
 
 PAIR = """SELECT a.date, a.ret AS x, b.ret AS y FROM (SELECT * FROM x WHERE symbol = '1-URGENT') a
@@ -356,6 +357,25 @@ def ridge_baseline(spark, folder):
     return rounded(models.ridge_baseline(d, list(features.FEATURES), axis), 4)
 
 
+@query(over("ticks", f"""
+SELECT symbol, stored_rows, feature, ic, n_obs, violations, violations = 0 AS passed, oos_ic, oos_r2, n_train, n_test
+FROM ({_IC}) JOIN (SELECT symbol, CAST(sum(violations) AS BIGINT) AS violations FROM ({_BROKEN}) GROUP BY symbol) USING (symbol)
+JOIN (SELECT symbol, count(*) AS stored_rows FROM lagged GROUP BY symbol) USING (symbol)
+JOIN (SELECT symbol, {r('corr(rx, ry)', 4)} AS oos_ic, {r('1 - sum(e * e) / (var_pop(y) * count(y))', 4)} AS oos_r2, count(*) AS n_test FROM ranks GROUP BY symbol) USING (symbol)
+JOIN (SELECT symbol, n_train FROM fitted) USING (symbol)""", **(LAGGED_STEPS | RIDGE16)))
+def checked_full_run(spark, folder):
+    """Features, targets and lags saved as Parquet; from the file the invariants, the rank IC of each feature and the ridge report."""
+    df, axis = table(spark, folder, "ticks")
+    path = write_parquet(features.lagged_feature_table(df, axis), _scratch(spark, "full-run"), partition_by=("symbol",), spread_by=("symbol", "ts", "seq"))
+    lagged = read_parquet(spark, path)
+    broken = validate.feature_invariants(lagged, axis).groupBy("symbol").agg(F.sum("violations").alias("violations"))
+    stored = lagged.groupBy("symbol").agg(F.count("*").alias("stored_rows"))
+    d = lagged.withColumns({c: F.round(c, 12) for c in (*features.FEATURES, "ret_1m")})
+    ic = rounded(stats.feature_ic(d, list(features.FEATURES), axis), 4)
+    ridge = rounded(models.ridge_baseline(d, list(features.FEATURES), axis), 4)
+    return ic.join(broken, "symbol").join(stored, "symbol").join(ridge, "symbol").withColumn("passed", F.col("violations") == 0)
+
+
 RIDGE2 = {
     "t": f"""SELECT symbol, ts, seq, volume::DOUBLE AS a, bid_size::DOUBLE AS b, ln(lead(trade_price) OVER {W} / trade_price) AS y FROM ticks""",
     "k": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) <= floor(0.7 * count(*) OVER (PARTITION BY symbol)) AS is_train FROM t WHERE y IS NOT NULL""",
