@@ -85,6 +85,90 @@ def test_factors_name_an_earlier_source(nasty):
     assert {r["kind"] for r in found} == {"block", "edge"}
 
 
+def check_parse(texts, found, window):
+    """Factors are true copies, do not overlap, cover just the repeated words, and each is the longest the indexed matches allow."""
+    words = {i: t.split() for i, t in texts}
+    first = {}
+    for i, t in sorted(texts):
+        for k in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][k : k + window]), i)
+    parses = defaultdict(list)
+    for r in found:
+        parses[r["doc_id"]].append(r)
+    for i, w in words.items():
+        copied = set()
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < i:
+                copied.update(range(k, k + window))
+        done, seen = 0, set()
+        for f in sorted(parses.pop(i, []), key=lambda f: f["parse_start"]):
+            start, end, source = f["start"], f["start"] + f["n_words"], words[f["source_id"]]
+            assert f["source_id"] < i and f["n_words"] >= window
+            assert w[start:end] == source[f["source_start"] : f["source_start"] + f["n_words"]]
+            assert f["parse_start"] == max(start, done) and f["parse_start"] < end
+            seen.update(range(f["parse_start"], end))
+            if end not in copied:  # at the end of a span no earlier document goes on
+                longer = tuple(w[end - window + 1 : end + 1])
+                assert len(longer) < window or first[longer] == i
+            done = end
+        assert seen == copied
+    assert not parses
+
+
+def test_parse_of_long_copies(spark):
+    """A copy of one document is one factor, one of two overlapping documents is two, and the second is found across the boundary."""
+    w = [f"w{k}" for k in range(400)]
+    texts = [
+        (1, " ".join(w[:200])), (2, " ".join(w[150:400])), (3, " ".join(["n1", *w[20:180], "n2"])),
+        (4, " ".join(["o1", *w[100:300], "o2"])), (5, " ".join(["p1", *w[100:300], "p2", *w[:60]])),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = substring.factors(df).collect()
+    check_parse(texts, found, 50)
+    by_doc = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["parse_start"])):
+        by_doc[r["doc_id"]].append((r["start"], r["n_words"], r["parse_start"], r["source_id"], r["source_start"]))
+    assert by_doc[2] == [(0, 50, 0, 1, 150)]
+    assert by_doc[3] == [(1, 160, 1, 1, 20)]
+    assert by_doc[4][0] == (1, 100, 1, 1, 100)
+    assert [f[2] for f in by_doc[4]][1] == 101 and by_doc[4][-1][3] == 2
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=8))
+def test_parse_of_few_distinct_words(spark, docs):
+    texts = [(i, " ".join("abc"[x] for x in d)) for i, d in enumerate(docs)]
+    found = substring.factors(spark.createDataFrame(texts, "doc_id long, text string"), window=6, anchor=3).collect()
+    check_parse(texts, found, 6)
+
+
+def plain_parse(matches):
+    """Word by word: at each uncovered word the match that holds it and ends last."""
+    out, at, stop = [], 0, max((e for _, e in matches), default=0)
+    while at < stop:
+        here = [k for k, (s, e) in enumerate(matches) if s <= at < e]
+        if not here:
+            at += 1
+            continue
+        best = max(here, key=lambda k: (matches[k][1], -k))
+        out.append((best, at))
+        at = matches[best][1]
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=12))
+def test_greedy_is_the_longest_match_at_every_word(spans):
+    matches = sorted((s, s + n) for s, n in spans)
+    assert substring._greedy([s for s, _ in matches], [e for _, e in matches]) == plain_parse(matches)
+
+
+def test_rows_that_share_an_id_are_parsed_by_their_own_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    texts = [(1, a), (2, b), (2, a), (2, a), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert collected(substring.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_text") == repeats(texts)
+
+
 def test_jaccard_query_matches_brute_force(spark, folder, texts):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op5_jaccard_join"](spark, folder).collect()}
     assert got == groups(texts)

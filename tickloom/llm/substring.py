@@ -2,15 +2,21 @@
 
 Every text is cut at content-defined points into *blocks*: the stretch of 50-word windows whose smallest 10-gram
 hash (the anchor) is the same. Equal windows have equal anchors wherever they stand, so all places that could hold
-a window are in the index under its anchor. The index keeps each distinct block once, with the first document that
-holds it. A document is then factored greedily against the whole index: a block whose fingerprint an earlier
-document has is one copied factor. A block that is the first of its kind, under an anchor that other blocks share,
-is where factors begin and end; there, and only there, single windows are looked up. Windows that occur in a
-smaller document join the copied factors on either side, and factors of at least 50 words are duplicate spans.
+a window are in the index under its anchor. The reference is the set of distinct blocks, each at the first place that
+holds it (smallest document, then smallest start). A block of a later document is looked up whole; a block that is the
+first of its kind, under an anchor that other blocks share, is where a copy begins or ends, and its windows are looked
+up one by one.
+
+The parse of a document is greedy. Look-ups that continue each other in the same source document are first joined into
+matches of full length. From the first copied word on, the match that reaches furthest becomes the next factor, and
+parsing goes on behind it. A match that begins before the end of the last factor is one that the check at the factor
+boundary has found: it is of at least 50 words, though fewer of them are new. Factors do not overlap and their union
+is the duplicate text. Where a duplicate span ends, its factor cannot be made longer in any earlier document, because
+one more equal word would be one more window that the index knows.
 
 Cost: about one block for 21 words, and window rows only for distinct variants of shared blocks. A group of equal
-copies collapses to one index row per block in the partial aggregation; no group is gathered in one task. Keys are
-two independent 64-bit hashes (anchor and block, or anchor and window).
+copies collapses to one index row per block in the partial aggregation; no group is gathered in one task, only the
+matches of one document are. Keys are two independent 64-bit hashes (anchor and block, or anchor and window).
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -30,7 +36,7 @@ ANCHOR = 10
 
 
 def _blocks(window: int, anchor: int):
-    names = ["doc_id", "anchor", "block", "start", "n_windows"]
+    names = ["doc_id", "text_hash", "anchor", "block", "start", "n_windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -49,15 +55,15 @@ def _blocks(window: int, anchor: int):
             start, count = at[head], np.diff(np.append(head, len(at)))
             mark = Prefix(w.hash, BASES[1]).run(start, start + count + window - 1)
             doc = w.doc[start]
-            ids = batch.column("doc_id").take(pa.array(doc))
-            out = pa.record_batch([ids, signed(low[start]), signed(mark), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
+            ids, hashes = (batch.column(c).take(pa.array(doc)) for c in ("doc_id", "text_hash"))
+            out = pa.record_batch([ids, hashes, signed(low[start]), signed(mark), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
             yield out.filter(ids.is_valid())
 
     return run
 
 
 def _window_rows(window: int):
-    """(doc_id, text, blocks) to one row per window of these blocks."""
+    """(doc_id, text_hash, text, blocks) to one row per window of these blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -71,15 +77,74 @@ def _window_rows(window: int):
             begin = np.repeat(start, count)
             inside = np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)
             at, doc = begin + inside, np.repeat(owner, count)
-            fits = at + window <= w.counts[doc]
-            at, doc, key = at[fits], doc[fits], np.repeat(anchor, count)[fits]
+            key = np.repeat(anchor, count)
             where = at + w.first[doc]
             mark = Prefix(w.hash, BASES[1]).run(where, where + window)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(doc)), pa.array(key), signed(mark), pa.array(at.astype(np.int32))], names=["doc_id", "anchor", "mark", "start"])
+            ids, hashes = (batch.column(c).take(pa.array(doc)) for c in ("doc_id", "text_hash"))
+            yield pa.record_batch([ids, hashes, pa.array(key), signed(mark), pa.array(at.astype(np.int32))], names=["doc_id", "text_hash", "anchor", "mark", "start"])
 
     return run
 
 
+def _longest(owner, source, diagonal, start, end, whole):
+    """Look-ups of the same ``owner``, ``source`` and ``diagonal`` that touch or overlap, joined: order of rows, first and last word, kind."""
+    order = np.lexsort((start, diagonal, source, owner))
+    owner, source, diagonal, start, end, whole = (x[order] for x in (owner, source, diagonal, start, end, whole))
+    same = np.zeros(len(order), bool)
+    same[1:] = (owner[1:] == owner[:-1]) & (source[1:] == source[:-1]) & (diagonal[1:] == diagonal[:-1])
+    line = np.cumsum(~same) << 32
+    reach = np.maximum.accumulate(line + end) - line
+    new = ~same
+    new[1:] |= start[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    if not len(head):
+        return tuple(x[:0] for x in (owner, source, diagonal, start, end, whole))
+    return owner[head], source[head], diagonal[head], start[head], np.maximum.reduceat(end, head), np.logical_and.reduceat(whole, head)
+
+
+def _greedy(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """(match, first word of its factor) of the greedy parse of one document, whose matches are in order of ``starts``."""
+    factors = []
+    i = done = 0
+    while i < len(starts):
+        at, best = max(done, starts[i]), -1
+        while i < len(starts) and starts[i] <= at:
+            if ends[i] > (at if best < 0 else ends[best]):
+                best = i
+            i += 1
+        if best >= 0:
+            factors.append((best, at))
+            done = ends[best]
+    return factors
+
+
+_FACTOR = "start:int,n_words:int,parse_start:int,source_id:long,source_start:int,kind:string"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, met) to (doc_id, text_hash, factors): the look-ups of a document to its factors."""
+    item = pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("parse_start", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32()), ("kind", pa.string())])
+    for batch in batches:
+        lists = batch.column("met")
+        flat = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        start, n, source, source_start = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "n_words", "source_id", "source_start"))
+        whole = flat.field("whole").to_numpy(zero_copy_only=False)
+        owner, source, diagonal, start, end, whole = _longest(owner, source, source_start - start, start, start + n, whole)
+        order = np.lexsort((diagonal, source, start, owner))
+        owner, source, diagonal, start, end, whole = (x[order] for x in (owner, source, diagonal, start, end, whole))
+        bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
+        out = []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            starts, ends = start[low:high].tolist(), end[low:high].tolist()
+            out.append([
+                {"start": starts[k], "n_words": ends[k] - starts[k], "parse_start": at, "source_id": int(source[low + k]),
+                 "source_start": starts[k] + int(diagonal[low + k]), "kind": "block" if whole[low + k] else "edge"}
+                for k, at in _greedy(starts, ends)
+            ])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.list_(item))], names=["doc_id", "text_hash", "factors"])
+
+
 def _kept(window: int):
     """(doc_id, text, spans) to the words outside the spans."""
 
@@ -94,8 +159,8 @@ def _kept(window: int):
                 if cut:
                     gone = np.zeros(n + 1, np.int32)
                     for s in cut:
-                        gone[min(n, s["start"])] += 1
-                        gone[min(n, s["start"] + s["n_words"])] -= 1
+                        gone[s["start"]] += 1
+                        gone[s["start"] + s["n_words"]] -= 1
                     keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
                     words = [words[i] for i in keep.tolist()]
                 removed.append(n - len(words))
@@ -106,44 +171,64 @@ def _kept(window: int):
 
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def _first_place() -> list[Column]:
+    """The smallest document of a group as ``first``, its smallest start as ``first_start`` (by one number, so that the aggregate stays hash-based), and the largest document as ``last``."""
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
+    return [F.min("doc_id").alias("first"), F.min(place).alias("place"), F.max("doc_id").alias("last")]
+
+
+def _source_start() -> Column:
+    base = F.col("first").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")
+    return (F.col("place") - base).cast("int").alias("source_start")
 
 
 def reference_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Index entries (doc_id, anchor, block, start, n_windows) of every text of at least ``window`` words."""
+    """Index entries (doc_id, text_hash, anchor, block, start, n_windows) of every text of at least ``window`` words."""
     if not 0 < anchor <= window:
         raise ValueError("an anchor has between one word and a window")
-    return _input(docs, id_col, text_col).mapInArrow(_blocks(window, anchor), "doc_id long, anchor long, block long, start int, n_windows int")
+    return _input(docs, id_col, text_col).mapInArrow(_blocks(window, anchor), "doc_id long, text_hash long, anchor long, block long, start int, n_windows int")
 
 
-def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Copied factors (doc_id, start, n_words, source_id, kind): words that a smaller document also holds.
-
-    ``kind`` is ``block`` for a whole block and ``edge`` for a window found where factors begin or end; factors
-    of one document may overlap, and their union is the duplicate text. Texts under ``window`` words, null texts
-    and rows without an id have none and are no reference. Rows repeating a document's id do not copy each other.
-    """
+def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, text_hash, factors): the greedy parse of each text that copies from a smaller document; see ``factors``."""
     rows = _input(docs, id_col, text_col)
     blocks = written(reference_blocks(rows, window=window, anchor=anchor), "blocks")
-    index = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    index = blocks.groupBy("anchor", "block").agg(*_first_place())
     shared = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    known = written(index.join(shared.select("anchor", "variants"), "anchor"), "known")
+    known = written(index.join(shared.select("anchor", "variants"), "anchor").select("anchor", "block", "first", _source_start(), "variants"), "known")
     met = written(
         blocks.join(known, ["anchor", "block"]).where("first < doc_id OR variants > 1")
-        .select("doc_id", "anchor", "start", "n_windows", "first"),
+        .select("doc_id", "text_hash", "anchor", "start", "n_windows", "first", "source_start"),
         "met",
     )
-    whole = met.where("first < doc_id").select("doc_id", "start", (F.col("n_windows") + window - 1).alias("n_words"), F.col("first").alias("source_id"), F.lit("block").alias("kind"))
-    edges = met.where("first = doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n_windows")).alias("blocks"))
-    windows = written(
-        rows.join(edges, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_window_rows(window), "doc_id long, anchor long, mark long, start int"),
-        "windows",
-    )
+    found = ["doc_id", "text_hash", "start", "n_words", F.col("first").alias("source_id"), "source_start", "whole"]
+    whole = met.where("first < doc_id").withColumns({"n_words": F.col("n_windows") + (window - 1), "whole": F.lit(True)}).select(*found)
+    edges = met.where("first = doc_id").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", "start", "n_windows")).alias("blocks"))
+    # sets, so that rows repeating an id and a text do not multiply
+    texts = rows.join(edges, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "blocks")
+    windows = written(texts.mapInArrow(_window_rows(window), "doc_id long, text_hash long, anchor long, mark long, start int"), "windows")
     # written, so that the join has two plain exchanges and a window that very many blocks hold can be split
-    firsts = windows.groupBy("anchor", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = windows.groupBy("anchor", "mark").agg(*_first_place()).where("first < last").select("anchor", "mark", "first", _source_start())
     firsts = written(firsts, "firsts")
-    edge = windows.join(firsts, ["anchor", "mark"]).where("first < doc_id").select("doc_id", "start", F.lit(window).alias("n_words"), F.col("first").alias("source_id"), F.lit("edge").alias("kind"))
-    return whole.unionByName(edge)
+    edge = windows.join(firsts, ["anchor", "mark"]).where("first < doc_id").withColumns({"n_words": F.lit(window), "whole": F.lit(False)}).select(*found)
+    each = whole.unionByName(edge).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "source_id", "source_start", "whole")).alias("met"))
+    return each.mapInArrow(_parse, f"doc_id long, text_hash long, factors array<struct<{_FACTOR}>>")
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Copied factors (doc_id, text_hash, start, n_words, parse_start, source_id, source_start, kind).
+
+    Words ``start`` to ``start + n_words`` of the document equal those from ``source_start`` on in a row of the smaller
+    document ``source_id``. The factor itself begins at ``parse_start``, behind the factor before it; ``start`` lies earlier if the
+    match was found across that boundary. ``kind`` is ``block`` if the match is made of whole blocks and ``edge`` if windows at an end were looked up one by one.
+    Texts under ``window`` words, null texts and rows without an id have none and are no reference. Rows that repeat a document's
+    id do not copy each other; each is parsed by its own text.
+    """
+    each = parsed(docs, id_col, text_col, window, anchor)
+    return each.select("doc_id", "text_hash", F.explode("factors").alias("f")).select("doc_id", "text_hash", "f.*")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -152,5 +237,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has no words and keeps an empty text. Other columns of ``docs`` are not looked at.
     """
     rows = _input(docs, id_col, text_col)
-    spans = factors(rows, window=window, anchor=anchor).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    spans = parsed(rows, window=window, anchor=anchor).withColumnRenamed("factors", "spans")
+    return rows.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string")
