@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.llm import cascade, mixing, quality_model, tokens
@@ -85,6 +87,35 @@ def test_cascade_verdict_does_not_depend_on_the_order(spark, folder, monkeypatch
     assert kept() == one and 0 < len(one) < docs.count()
 
 
+def test_cascade_order_is_the_same_in_every_run(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    orders = [cascade.sampled_order(docs.repartition(k + 1), cascade.rules(), costs=cascade.work()) for k in range(5)]
+    assert all(o == orders[0] for o in orders) and sorted(orders[0]) == sorted(cascade.rules()) == sorted(cascade.work())
+
+
+def test_cascade_order_follows_known_costs(spark):
+    """A cheap rule of few rejections may go before a dear one of many, and what another rule rejects anyway counts no more."""
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i if i % 3 else None, f"row{i} {words}") for i in range(100)], "doc_id long, text string")
+    number = F.regexp_extract("text", "^row([0-9]+)", 1).cast("int")
+    chosen = {"dear_half": number < 50, "cheap_tenth": number < 10, "cheap_rest": number >= 90, "inside": number < 9, "never": number < 0}
+    costs = {"dear_half": F.lit(100), "cheap_tenth": F.lit(1), "cheap_rest": F.lit(2), "inside": F.lit(1), "never": F.lit(1)}
+    assert cascade.sampled_order(docs, chosen, costs=costs) == ["cheap_tenth", "cheap_rest", "dear_half", "inside", "never"]
+    assert cascade.sampled_order(docs, chosen) == ["dear_half", "cheap_rest", "cheap_tenth", "inside", "never"]
+    assert cascade.sampled_order(docs.where("false"), chosen, costs=costs) == list(chosen)
+
+
+@given(st.lists(st.tuples(st.sets(st.sampled_from("abcd")), st.integers(1, 9)), max_size=8), st.lists(st.integers(1, 50), min_size=4, max_size=4))
+def test_greedy_order_takes_the_best_rule_at_every_step(cells, per_row):
+    cost = dict(zip("abcd", per_row))
+    rows = [frozenset(rejects) for rejects, n in cells for _ in range(n)]
+    got = cascade.greedy_order([(frozenset(r), n, {k: n * cost[k] for k in "abcd"}) for r, n in cells], list("abcd"))
+    for at, name in enumerate(got):
+        left = [r for r in rows if not r & set(got[:at])]
+        gain = lambda k: sum(k in r for r in left) / (cost[k] * (len(left) or 1))
+        assert gain(name) >= max(map(gain, got[at:])) * (1 - 1e-12)
+
+
 def test_cascade_order_puts_rejections_per_second_first(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     order = cascade.sampled_order(docs, cascade.rules())

@@ -1,23 +1,27 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is one column expression that is true where it rejects. On a hashed sample each rule is timed and its
-rejections are counted together with those of the others; then rules are ordered greedily by the rejections they add
-per second. The cascade is a conjunction, which stops at the first rule that rejects. The order changes the
-work, never the verdict.
+Every rule is one column expression that is true where it rejects, and has a second one for the work it takes on a row:
+characters, lines or words it goes through, times what one of them takes. On a hashed sample one job adds up rows and
+work by which rules reject them; then rules are ordered greedily, each by the rejections it adds per work among the rows
+that the rules before it let through. Work is counted, not timed, so the order is the same in every run: the time of a
+job on a sample is mostly its start. The cascade is a conjunction, which stops at the first rule that rejects. The order
+changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD
 
 SAMPLE_ROWS = 1000
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Nanoseconds on one core, measured on 28,000 rows with 76 million characters: a stored number is compared, a pattern that is
+#: tried at every character passes one, a pattern finds every capital or every letter, an anchored one tries a line,
+#: a word is looked up in a list. The order depends on their ratios only.
+NUMBER, PASSED, CAPITALS, LETTERS, LINE, LOOKUP = 5, 37, 18, 92, 700, 86
 #: Common words of the four languages.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "de", "la", "le", "les", "et", "que", "el", "en", "y", "der", "die", "und", "das", "von")
 
@@ -93,8 +97,6 @@ def _share(part: Column, whole: Column, percent: int) -> Column:
     return 100 * part > percent * whole
 
 
-
-
 def rules() -> dict[str, Column]:
     n, lines = F.col("n_words"), F.col("lines")
     return {
@@ -110,35 +112,63 @@ def rules() -> dict[str, Column]:
     }
 
 
-def sampled_order(docs: DataFrame, chosen: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections added per second, measured on about ``sample_rows`` rows chosen by a hash of their id."""
-    names = list(chosen)
-    each = max(1, docs.count() // sample_rows)
-    picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(each)) == 0)
-    sample = written(base_features(picked, id_col, text_col), "sample").where("NOT base_failed")
-    seconds = {}
-    for name in names:
-        start = time.perf_counter()
-        sample.agg(F.count_if(chosen[name])).collect()
-        seconds[name] = time.perf_counter() - start
-    flags = sample.groupBy(*[chosen[n].alias(n) for n in names]).count().collect()  # at most 2^rules rows
+def work() -> dict[str, Column]:
+    """Nanoseconds that each of ``rules`` takes on a row."""
+    number, chars, lines = F.lit(NUMBER), F.char_length("text"), F.size("lines")
+    return {
+        "word_length_short": number,
+        "word_length_long": number,
+        "symbols": number,
+        "repeated_lines": number,
+        "ellipsis_lines": number + PASSED * chars,
+        "bullet_lines": number + LINE * lines,
+        "few_letters": number + LETTERS * chars,
+        "capitals": number + CAPITALS * chars,
+        "no_stop_words": number + LOOKUP * F.col("n_words"),
+    }
+
+
+def greedy_order(cells: list[tuple[frozenset[str], int, dict[str, float]]], names: list[str]) -> list[str]:
+    """``names`` by rejections per work among what is left. A cell is the rules that reject its rows, their number, and each rule's work on them.
+
+    Rules that reject none of what is left come last, cheapest first; ties keep the order of ``names``.
+    """
     order: list[str] = []
     while len(order) < len(names):
-        left = [r for r in flags if not any(r[n] for n in order)]
-        gain = {n: sum(r["count"] for r in left if r[n]) / seconds[n] for n in names if n not in order}
-        order.append(max(gain, key=lambda n: (gain[n], -seconds[n])))
+        left = [c for c in cells if not c[0].intersection(order)] or cells
+        cost = {n: sum(c[2][n] for c in left) or 1.0 for n in names}
+        gain = {n: sum(c[1] for c in left if n in c[0] and not c[0].intersection(order)) / cost[n] for n in names}
+        order.append(max((n for n in names if n not in order), key=lambda n: (gain[n], -cost[n])))
     return order
 
 
+def sampled_order(
+    docs: DataFrame, chosen: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, costs: dict[str, Column] | None = None,
+) -> list[str]:
+    """Rule names by rejections added per work, estimated on about ``sample_rows`` rows chosen by a hash of id and text.
+
+    ``costs`` has the work of each of ``chosen`` on a row; without it all rules count as equally dear. Equal rows are sampled
+    together or not at all. If the sample has no row that passes the base rules, the order is that of ``chosen``.
+    """
+    names = list(chosen)
+    each = max(1, docs.count() // sample_rows)
+    picked = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(each)) == 0)
+    sample = base_features(picked, id_col, text_col).where("NOT base_failed")
+    taken = [F.sum((costs or {}).get(n, F.lit(1)).cast("double")).alias(f"work_{n}") for n in names]
+    found = sample.groupBy(*[F.coalesce(chosen[n], F.lit(False)).alias(n) for n in names]).agg(F.count(F.lit(1)).alias("rows"), *taken)
+    cells = [(frozenset(n for n in names if r[n]), r["rows"], {n: r[f"work_{n}"] for n in names}) for r in found.collect()]  # at most 2^rules
+    return greedy_order(cells, names)
+
+
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: the base features, base_failed, rejected_by (first rule of the cascade) and kept.
 
     A null or empty text has no words and fails the base rule. Equal texts get equal verdicts; which rule is named first
-    depends on the sampled order. Other columns are not looked at.
+    depends on the order, which depends on the table only. Other columns are not looked at.
     """
     features = base_features(docs, id_col, text_col)
     chosen = rules()
-    order = sampled_order(docs, chosen, id_col, text_col, sample_rows)
+    order = sampled_order(docs, chosen, id_col, text_col, sample_rows, work())
     rejected = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
         rejected = rejected.when(chosen[name], F.lit(name))
