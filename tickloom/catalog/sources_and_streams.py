@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import bars
+from ..operators import bars, daily
 from ..plans.layout import shared_folder
-from ..sources import conform, flatten_header, read_bars, read_csv, read_minute_bars, write_csv, write_parquet
+from ..sources import conform, flatten_header, read_bars, read_csv, read_minute_bars, with_session_date, write_csv, write_parquet
 from ..sources.schemas import DAILY_BARS
 from .base import W, over, query, r, rounded, table
 from .books_and_flow import BOOK
-from .cleaning_and_bars import CONT, SIDED, UNIQUE, VBARS
+from .cleaning_and_bars import CONT, GOOD, GRID, SIDED, SPINE, UNIQUE, VBARS
 
 
 def _scratch(spark: SparkSession, kind: str) -> str:
@@ -56,6 +56,28 @@ def signed_volume_bar_ids(spark, folder):
     return bars.volume_bar_ids(d, axis, volume="flow", signed=True).select("symbol", "seq", "bar_id")
 
 
+FAIR_BY_DATE = """SELECT symbol, ts, seq, price, volume FROM g JOIN (SELECT symbol, CAST(ts AS DATE) AS day,
+avg(volume) + 5 * stddev_samp(volume) AS cap FROM g GROUP BY ALL) c ON g.symbol = c.symbol AND CAST(g.ts AS DATE) = c.day
+WHERE volume > 0 AND volume < cap"""
+
+
+@query(over("dirty", "SELECT symbol, ts, seq, price, volume, CAST(ts AS DATE) AS session_date FROM d", u=UNIQUE, g=GOOD,
+    f=FAIR_BY_DATE.replace("SELECT symbol, ts", "SELECT g.symbol, ts", 1), s=SPINE, d=GRID))
+def late_file_of_one_date(spark, folder):
+    """All dates are cleaned, a third of the middle date's ticks arrive late, and that date is cleaned again."""
+    ticks = with_session_date(table(spark, folder, "dirty")[0])
+    first, last = ticks.agg(F.min("session_date"), F.max("session_date")).first()
+    middle = first + (last - first) // 2
+    late = (F.col("session_date") == F.lit(middle)) & (F.col("seq") % 3 == 0)
+    landed, store = _scratch(spark, "landed"), _scratch(spark, "store")
+    raw = lambda: daily.stored(spark, landed, ticks.schema)
+    write_parquet(ticks.where(~late), landed, ("session_date",))
+    daily.clean_dates(raw(), store, first, last, step="1 hour")
+    write_parquet(ticks.where(late), landed, ("session_date",), mode="append")
+    daily.clean_dates(raw(), store, middle, middle, step="1 hour")
+    return daily.stored(spark, f"{store}/grid", ticks.schema)
+
+
 #: After every bundled row by more than any delay; rows from here on only move the watermark.
 END = "2090-01-01"
 DELAY = "10 minutes"

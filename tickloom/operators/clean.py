@@ -77,6 +77,20 @@ def to_utc(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp").alias(ts, metadata=df.schema[ts].metadata))
 
 
+def flag_ticks(
+    df: DataFrame, axis: Axis, gap_policy: str = "drop", volume_sigmas: float = 5.0, price: str = "price", volume: str = "volume",
+) -> DataFrame:
+    """First arrivals with ``_copies``, ``_good`` (price), ``_gap`` (no price) and ``_fair`` (good, and volume above zero and below its key's cap)."""
+    unique = first_arrivals(df, axis, copies="_copies")
+    good = F.coalesce(F.col(price) > 0, F.lit(gap_policy == "ffill"))
+    flagged = unique.withColumns({"_good": good, "_gap": F.col(price).isNull()})
+    limits = flagged.filter("_good").groupBy(*axis.keys).agg(
+        (F.avg(volume) + volume_sigmas * F.stddev_samp(volume)).alias("_cap")
+    )
+    fair = F.coalesce((F.col(volume) > 0) & (F.col(volume) < F.col("_cap")), F.lit(False))
+    return attach(flagged, limits, axis.keys, axis.n_keys).withColumn("_fair", F.col("_good") & fair)
+
+
 def clean_ticks(
     df: DataFrame,
     axis: Axis = TICKS,
@@ -96,16 +110,7 @@ def clean_ticks(
     if gap_policy not in ("drop", "ffill"):
         raise ValueError("gap_policy must be 'drop' or 'ffill'")
     axis = axis.measured(df)
-    unique = first_arrivals(df, axis, copies="_copies")
-    good = F.coalesce(F.col(price) > 0, F.lit(gap_policy == "ffill"))
-    flagged = unique.withColumns({"_good": good, "_gap": F.col(price).isNull()})
-
-    limits = flagged.filter("_good").groupBy(*axis.keys).agg(
-        (F.avg(volume) + volume_sigmas * F.stddev_samp(volume)).alias("_cap")
-    )
-    fair = F.coalesce((F.col(volume) > 0) & (F.col(volume) < F.col("_cap")), F.lit(False))
-    flagged = attach(flagged, limits, axis.keys, axis.n_keys).withColumn("_fair", F.col("_good") & fair)
-
+    flagged = flag_ticks(df, axis, gap_policy, volume_sigmas, price, volume)
     us = interval_micros(step)
 
     def step_number(edge):
