@@ -19,6 +19,41 @@ def test_feature_file_round_trip(spark, folder, tmp_path):
     assert "PartitionFilters: [isnotnull(symbol" in plan
 
 
+def test_stored_table_is_verified_from_its_footers(spark, folder, tmp_path):
+    ticks = sources.with_session_date(sources.market_table(spark, folder, "ticks"))
+    holes = ticks.withColumns({
+        "bid_price": F.when(F.col("seq") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("bid_price")),
+        "volume": F.when(F.col("seq") % 5 > 0, F.col("volume")), "symbol": F.when(F.col("seq") % 11 > 0, F.col("symbol")),
+    })
+    for by in ((), ("symbol",), ("symbol", "session_date")):
+        path = sources.write_parquet(holes, str(tmp_path / f"f{len(by)}"), by)
+        read = sources.verify(sources.read_parquet(spark, path).select(*holes.columns), Axis(), holes).first()
+        assert sources.verify_stored(spark, path, Axis(), holes, by).first().asDict() == read.asDict()
+        assert sources.verify_stored(spark, path, Axis(), holes, by, nan=True).first().missing == read.missing > 0
+    raw = str(tmp_path / "raw")
+    holes.write.parquet(raw)
+    missing = lambda **o: sources.verify_stored(spark, raw, Axis(), **o).first().missing
+    assert missing(nan=True) - missing() == holes.where("isnan(bid_price)").count() > 0
+
+
+def test_footers_answer_counts_without_columns(spark, folder, tmp_path):
+    ticks = sources.with_session_date(sources.market_table(spark, folder, "ticks"))
+    path = sources.write_parquet(ticks, str(tmp_path / "f"), ("symbol", "session_date"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    counts = plan(sources.footer_counts(sources.footers(spark, path), ("symbol", "session_date")))
+    assert "PushedAggregation: [COUNT(*), COUNT(seq)" in counts
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_verify_stored_of_an_empty_table_and_another_schema(spark, folder, tmp_path):
+    ticks = sources.market_table(spark, folder, "ticks")
+    path = sources.write_parquet(ticks.where("false"), str(tmp_path / "e"))
+    got = sources.verify_stored(spark, path, Axis(), ticks).first()
+    assert (got.rows, got.first_ts, got.missing, got.passed) == (0, None, 0, False)
+    assert sources.verify_stored(spark, path, Axis(), ticks.where("false")).first().passed
+    assert not sources.verify_stored(spark, path, Axis(), ticks.where("false").drop("volume")).first().passed
+
+
 def test_bars_are_read_by_range(spark, folder, tmp_path):
     bars = sources.market_table(spark, folder, "daily").select(
         "symbol", F.to_date("date").alias("date"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], "volume"

@@ -11,7 +11,7 @@ from ..functions import mid_price, zero_to_null
 from ..operators import features, ofi, rows, stats, trades
 from ..plans import with_positions
 from ..plans.layout import shared_folder
-from ..sources import downcast_floats, read_csv, read_parquet, verify, with_session_date, write_csv, write_parquet
+from ..sources import downcast_floats, read_csv, verify_stored, with_session_date, write_csv, write_parquet
 from .base import W, WD, over, query, r, rounded, table
 
 
@@ -52,8 +52,7 @@ def parquet_round_trip(spark, folder):
         stored, _scratch(spark, "features"), partition_by=("symbol", "session_date"), float32=True,
         spread_by=("symbol", "session_date", "ts"),
     )
-    back = read_parquet(spark, path).select(*stored.columns)
-    return verify(back, axis, downcast_floats(stored)).drop("schema")
+    return verify_stored(spark, path, axis, downcast_floats(stored), ("symbol", "session_date")).drop("schema")
 
 
 @query(over("ticks", "SELECT symbol, seq, CAST(CAST((bid_price * 7 + ask_price) / 3 AS FLOAT) AS DOUBLE) AS x FROM ticks"))

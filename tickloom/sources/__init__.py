@@ -1,6 +1,6 @@
 from .files import (
-    downcast_floats, flatten_header, read_bars, read_csv, read_minute_bars, read_parquet, verify, with_session_date,
-    write_csv, write_parquet,
+    downcast_floats, flatten_header, footer_counts, footers, read_bars, read_csv, read_minute_bars, read_parquet, verify,
+    verify_stored, with_session_date, write_csv, write_parquet,
 )
 from .market import MARKET_SQL, market_table
 from .schemas import (
@@ -9,6 +9,6 @@ from .schemas import (
 
 __all__ = [
     "DAILY_BARS", "DEEP_QUOTES", "MARKET_SQL", "ORDER_EVENTS", "QUOTES", "STRATEGY_RETURNS", "TICKS_TABLE", "TRADES",
-    "conform", "downcast_floats", "flatten_header", "market_table", "read_bars", "read_csv", "read_minute_bars",
-    "read_parquet", "verify", "with_session_date", "write_csv", "write_parquet",
+    "conform", "downcast_floats", "flatten_header", "footer_counts", "footers", "market_table", "read_bars", "read_csv", "read_minute_bars",
+    "read_parquet", "verify", "verify_stored", "with_session_date", "write_csv", "write_parquet",
 ]

@@ -75,9 +75,9 @@ def write_parquet(
     """Snappy Parquet, optionally partitioned by columns such as symbol and session date.
 
     ``spread_by`` range-partitions the rows first, so each output folder is written by few
-    tasks and a large one by several.
+    tasks and a large one by several. NaN is stored as NULL, so that null counts in the footers are those of ``read_parquet``.
     """
-    out = downcast_floats(df) if float32 else df
+    out = nan_to_null(downcast_floats(df) if float32 else df)
     if spread_by:
         out = out.repartitionByRange(*([files] if files else []), *spread_by)
     writer = out.write.mode(mode).option("compression", "snappy")
@@ -106,3 +106,55 @@ def verify(df: DataFrame, axis: Axis = TICKS, expected: DataFrame | None = None)
     return report.withColumn("expected_rows", counted.scalar()).withColumn(
         "passed", (F.col("rows") == F.col("expected_rows")) & F.lit(same)
     )
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` in a session of its own, where counts and extremes without a filter are answered by Parquet footers."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own.read.parquet(path)
+
+
+def footer_counts(table: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` and ``missing`` (NULLs of stored columns) for each partition of ``footers``' table; no column is read."""
+    stored = [c for c in table.columns if c not in partition_by]
+    counts = table.groupBy(*partition_by).agg(F.count("*").alias("rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(stored)])
+    known = sum((F.col(f"_n{i}") for i in range(len(stored))), F.lit(0))
+    return counts.select(*partition_by, "rows", (len(stored) * F.col("rows") - known).alias("missing"))
+
+
+def verify_stored(
+    spark: SparkSession, path: str, axis: Axis = TICKS, expected: DataFrame | None = None,
+    partition_by: tuple[str, ...] = (), date_col: str = "session_date", nan: bool = False,
+) -> DataFrame:
+    """``verify`` of a stored table without reading it again.
+
+    Rows and missing values come from the footers. Footers do not tell extremes of times, so the time column is read, but
+    of the first and the last date only if ``date_col`` is one of ``partition_by`` (and rows without a date are none).
+    ``nan`` also reads the floating columns and counts their NaN as missing, for files that ``write_parquet`` did not write.
+    """
+    table = footers(spark, path)
+    absent = sum((F.when(F.col(c).isNull(), F.col("rows")).otherwise(0) for c in partition_by), F.lit(0))
+    by_date = date_col in partition_by
+    dates = [F.min(date_col), F.max(date_col), F.count_if(F.col(date_col).isNull())] if by_date else []
+    sums = [F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("missing") + absent), F.lit(0))]
+    rows, missing, *edge = footer_counts(table, partition_by).agg(*sums, *dates).first()
+    times = table.where(F.col(date_col).isin(*edge[:2])) if by_date and rows and not edge[2] else table
+    first_ts, last_ts = times.agg(F.min(axis.ts), F.max(axis.ts)).first()
+    floats = [f.name for f in table.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if nan and floats:
+        missing += table.agg(sum((F.count_if(F.isnan(c)) for c in floats), F.lit(0))).first()[0]
+    typed = {f.name: f.dataType.simpleString() for f in table.schema}
+    order = expected.columns if expected is not None and set(expected.columns) == set(typed) else table.columns
+    found = ",".join(f"{c}:{typed[c]}" for c in order)
+    time = table.schema[axis.ts].dataType.simpleString()
+    report = spark.createDataFrame(
+        [(rows, first_ts, last_ts, missing, len(typed), found)],
+        f"rows bigint, first_ts {time}, last_ts {time}, missing bigint, columns int, schema string",
+    )
+    if expected is None:
+        return report
+    same = found == ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in expected.schema)
+    return report.withColumn("expected_rows", expected.agg(F.count("*")).scalar()).withColumn("passed", (F.col("rows") == F.col("expected_rows")) & F.lit(same))
