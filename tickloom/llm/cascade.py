@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, written
 
 SAMPLE_ROWS = 1000
 MIN_WORDS = 50
@@ -153,7 +153,8 @@ def sampled_order(
     names = list(chosen)
     each = max(1, docs.count() // sample_rows)
     picked = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(each)) == 0)
-    sample = base_features(picked, id_col, text_col).where("NOT base_failed")
+    # written, or the features move into the filter that picks rows and are worked out for all of them
+    sample = written(base_features(picked, id_col, text_col), "sample").where("NOT base_failed")
     taken = [F.sum((costs or {}).get(n, F.lit(1)).cast("double")).alias(f"work_{n}") for n in names]
     found = sample.groupBy(*[F.coalesce(chosen[n], F.lit(False)).alias(n) for n in names]).agg(F.count(F.lit(1)).alias("rows"), *taken)
     cells = [(frozenset(n for n in names if r[n]), r["rows"], {n: r[f"work_{n}"] for n in names}) for r in found.collect()]  # at most 2^rules
