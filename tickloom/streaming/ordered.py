@@ -2,55 +2,91 @@
 
 A micro-batch holds a symbol's rows in any order, and later batches may hold earlier rows.
 Rows therefore wait in state until the watermark has passed them; an event-time timer then
-hands them over, sorted by (ts, seq), exactly once. They wait in buckets of event time, so a timer reads the buckets
-that are due and no row that is not yet, save those of the bucket in which the watermark stands.
+hands them over, sorted by (ts, seq), exactly once. They wait in parts, sorted stretches of at most ``PART_ROWS`` rows cut
+at buckets of event time, so a timer reads the parts that are due and no row that is not yet, save those of the parts
+in which the watermark stands. Rows come in and are handed over piece by piece: no list holds all that a symbol has waiting.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Least event time that a bucket of waiting rows covers; what arrives at once is cut into about ``BUCKETS`` of them or more.
+BUCKET_US = 10_000_000
+BUCKETS = 64
+#: Most rows of a part, rows that are sorted and stored at once, parts that a timer reads at once, and rows of an output frame.
+PART_ROWS = 2_000
+ADDED_ROWS = 100_000
+READ_PARTS = 50
+FRAME_ROWS = 20_000
 
-def _plain(row) -> tuple:
-    """A row of Python values with None for missing ones, as state stores take them."""
-    return tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
+_in_order = itemgetter(0, 1)
 
 
-#: Event time that a bucket of waiting rows covers.
-BUCKET_US = 10_000_000
+def _plain(column: pd.Series, kind: str) -> list:
+    """A column of Python values with None for missing ones; a missing whole number has made floats of its column."""
+    values = column.tolist()
+    missing = column.isna()
+    if not missing.any():
+        return values
+    whole = kind == "bigint"
+    return [None if none else int(v) if whole else v for v, none in zip(values, missing.tolist())]
 
 
 class WaitingRows:
-    """Rows by bucket of event time. A batch adds one part to each bucket it has rows for and rewrites none."""
+    """Rows in sorted parts by the time of their first row. A batch adds parts and rewrites none."""
 
     def __init__(self, handle: StatefulProcessorHandle, fields: str):
-        rows = ",".join(":".join(f.split()) for f in fields.split(","))
-        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
-        self.rows = handle.getMapState("rows", "bucket bigint, part bigint", f"rows array<struct<{rows}>>")
+        self.parts = handle.getMapState("parts", "start bigint", "n bigint")
+        # rows are stored as bytes, which pass to the store and back as they are
+        self.rows = handle.getMapState("rows", "start bigint, part bigint", "rows binary")
 
     def add(self, rows: list[tuple]) -> None:
-        buckets: dict[int, list[tuple]] = {}
-        for row in rows:
-            buckets.setdefault(row[0] // BUCKET_US, []).append(row)
-        for bucket, held in buckets.items():
-            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-            self.rows.updateValue((bucket, n), (held,))
-            self.parts.updateValue((bucket,), (n + 1,))
+        if not rows:
+            return
+        rows = sorted(rows, key=_in_order)
+        width = max(BUCKET_US, (rows[-1][0] - rows[0][0]) // BUCKETS // BUCKET_US * BUCKET_US)
+        first = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or i - first == PART_ROWS or rows[i][0] // width != rows[first][0] // width:
+                self._put(rows[first:i])
+                first = i
+
+    def _put(self, held: list[tuple]) -> None:
+        start = held[0][0]
+        n = self.parts.getValue((start,))[0] if self.parts.containsKey((start,)) else 0
+        self.rows.updateValue((start, n), (pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+        self.parts.updateValue((start,), (n + 1,))
+
+    def due(self, until: int) -> Iterator[list[tuple]]:
+        """Remove the rows before ``until`` and hand them over in order, in lists.
+
+        Parts are read in order of their first rows; what lies before the first row of the next part is complete.
+        """
+        starts = sorted(s for (s,) in self.parts.keys() if s < until)
+        held: list[tuple] = []
+        for i in range(0, len(starts), READ_PARTS):
+            for start in starts[i : i + READ_PARTS]:
+                for part in range(self.parts.getValue((start,))[0]):
+                    held += pickle.loads(bytes(self.rows.getValue((start, part))[0]))
+                    self.rows.removeKey((start, part))
+                self.parts.removeKey((start,))
+            held.sort(key=_in_order)
+            end = bisect_left(held, min([until, *starts[i + READ_PARTS : i + READ_PARTS + 1]]), key=itemgetter(0))
+            if end:
+                yield held[:end]
+                del held[:end]
+        self.add(held)
 
     def take(self, until: int) -> list[tuple]:
-        """Remove the rows before ``until`` and return them in order."""
-        ready, wait = [], []
-        for bucket in sorted(b for (b,) in self.parts.keys() if b * BUCKET_US < until):
-            for part in range(self.parts.getValue((bucket,))[0]):
-                for row in self.rows.getValue((bucket, part))[0]:
-                    (ready if row[0] < until else wait).append(tuple(row))
-                self.rows.removeKey((bucket, part))
-            self.parts.removeKey((bucket,))
-        self.add(wait)
-        return sorted(ready, key=lambda row: (row[0], row[1]))
+        """What ``due`` hands over, in one list."""
+        return [row for rows in self.due(until) for row in rows]
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -77,21 +113,28 @@ class OrderedProcessor(StatefulProcessor):
         return out.assign(ts=pd.to_datetime(out["ts"], unit="us"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        kinds = [f.split()[1] for f in self.waiting.split(",")]
+        latest, new = None, []
         for batch in rows:
             # whole microseconds, which no time zone setting of a worker can shift
             us = (batch["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
             values = batch.drop(columns="symbol").assign(ts=us)
-            self.pending.add([_plain(v) for v in values.itertuples(index=False, name=None)])
+            new += zip(*[_plain(values[c], kind) for c, kind in zip(values.columns, kinds)])
+            if len(new) >= ADDED_ROWS:
+                self.pending.add(new)
+                new = []
             latest = int(us.max()) if latest is None else max(latest, int(us.max()))
+        self.pending.add(new)
         if latest is not None:
             # one millisecond up, so that every row of the millisecond is behind the watermark
             self.handle.registerTimer(latest // 1000 + 1)
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ready = self.pending.take(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        yield self._frame(self.advance(key[0], ready) if ready else [])
+        for ready in self.pending.due(expiredTimerInfo.getExpiryTimeInMs() * 1000):
+            for i in range(0, len(ready), FRAME_ROWS):
+                yield self._frame(self.advance(key[0], ready[i : i + FRAME_ROWS]))
+        yield self._frame([])
 
     def close(self) -> None:
         pass
