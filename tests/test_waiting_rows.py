@@ -95,3 +95,23 @@ def test_a_timer_hands_over_rows_in_bounded_frames(monkeypatch):
     assert whole["seq"].tolist() == want["seq"].tolist()
     for c in ("bid_price", "ask_price", "bid_size", "ask_size", "ofi"):
         assert whole[c].fillna(-1).tolist() == want[c].fillna(-1).tolist()
+
+
+def test_sparse_rows_take_few_calls_to_the_store():
+    """One row in each ten seconds or fewer: calls follow the parts, not the rows."""
+    waiting = WaitingRows(_Handle(), "us bigint, seq bigint")
+    rows = [(i * 130_000_000, i) for i in range(50_000)]
+    waiting.add(rows[::-1])
+    assert waiting.take(rows[-1][0] + 1) == rows
+    assert waiting.parts.calls + waiting.rows.calls < 2_000 and not waiting.parts.held and not waiting.rows.held
+
+
+def test_ofi_of_sizes_that_are_partly_missing():
+    """A missing size makes floats of its column in pandas; the others stay whole numbers."""
+    columns = ["ts", "seq", "bid_price", "ask_price", "bid_size", "ask_size", "trade_price", "volume"]
+    rows = [(i, i, 10.0, 11.0, 2**53 + 1 if i == 0 else 5 if i < 3 else None, 4, 10.5, 7) for i in range(4)]
+    handle, ofi = _Handle(), ordered.OfiProcessor()
+    ofi.init(handle)
+    list(ofi.handleInputRows(("A",), frames(rows, columns, 10), None))
+    held = ofi.pending.take(10)
+    assert [type(r[4]) for r in held] == [int, int, int, type(None)]
