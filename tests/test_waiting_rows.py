@@ -115,3 +115,15 @@ def test_ofi_of_sizes_that_are_partly_missing():
     list(ofi.handleInputRows(("A",), frames(rows, columns, 10), None))
     held = ofi.pending.take(10)
     assert [type(r[4]) for r in held] == [int, int, int, type(None)]
+
+
+def test_a_volume_bar_goes_on_in_the_next_frame(monkeypatch):
+    columns = ["ts", "seq", "price", "volume"]
+    rows = [(i * 700_000, i, 100.0 + i % 13, i % 17) for i in range(9_000)]
+    whole = ordered.VolumeBarProcessor(500)
+    whole.bar = _Value()
+    want = whole.advance("A", rows)
+    monkeypatch.setattr(ordered, "FRAME_ROWS", 37)
+    out = run(ordered.VolumeBarProcessor(500), rows[::-1], columns, 1_000)
+    assert len(out) > 100 and pd.concat([f for f in out if len(f)])["bar_id"].tolist() == [b[1] for b in want]
+    assert sum(f["total_volume"].sum() for f in out) == sum(b[7] for b in want)
