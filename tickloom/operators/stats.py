@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import (
     chi2_two_df_tail, normal_density, normality_k2, ratio, round_to, student_p,
 )
-from ..plans import Axis, TICKS, attach, average_rank, before, over_rows, quantiles
+from ..plans import Axis, TICKS, attach, average_rank, before, over_rows, quantiles, rank_correlations
 
 
 def return_summary(df: DataFrame, axis: Axis = TICKS, ret: str = "ret") -> DataFrame:
@@ -282,19 +282,7 @@ def feature_ic(
 ) -> DataFrame:
     """Spearman correlation of every feature with one target over the rows complete in all of them."""
     axis = axis.measured(df)
-    places = _places(df, axis)
+    places = [c for c in axis.order if c in df.columns and c not in (*features, target)]
     whole = df.select(*axis.keys, *places, *features, target).na.drop("any", subset=[*axis.keys, *features, target])
-    if axis.fits:
-        # all ranks from one exchange; what is unpivoted is one row per key
-        ranked = average_rank(whole, axis, _ry=target, **{f"_r_{c}": c for c in features})
-        found = ranked.groupBy(*axis.keys).agg(F.count("*").alias("n_obs"), *[F.corr(f"_r_{c}", "_ry").alias(c) for c in features])
-        long = unpivot(found, [*axis.keys, "n_obs"], list(features), "feature", "_ic")
-        return long.select(*axis.keys, "feature", round_to(F.col("_ic"), round_dp).alias("ic"), "n_obs").orderBy(*axis.keys, F.desc("ic"))
-    ranked = average_rank(whole, axis, _ry=target)
-    long = unpivot(ranked, [*axis.keys, *places, "_ry"], list(features), "feature", "_x")
-    fine = axis.by("feature", groups=len(features))
-    return (
-        average_rank(long, fine, _rx="_x").groupBy(*fine.keys)
-        .agg(round_to(F.corr("_rx", "_ry"), round_dp).alias("ic"), F.count("*").alias("n_obs"))
-        .orderBy(*axis.keys, F.desc("ic"))
-    )
+    found = rank_correlations(whole, axis, list(features), target, "feature", "ic", "n_obs")
+    return found.withColumn("ic", round_to(F.col("ic"), round_dp)).orderBy(*axis.keys, F.desc("ic"))
