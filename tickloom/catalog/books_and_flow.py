@@ -8,7 +8,7 @@ from ..functions import (
     effective_spread, mid_price, queue_imbalance, queue_imbalance_levels, quoted_spread, trade_side, weighted_mid,
 )
 from ..operators import ofi, orderbook, trades
-from ..plans import over_rows
+from ..plans import lay_out, over_rows
 from .base import W, full, over, query, r, rounded, table
 from .cleaning_and_bars import CONT, SIDED
 from .selection import SIZE_OFI
@@ -124,8 +124,8 @@ FROM (SELECT * FROM o WHERE NOT is_seed OR is_base) WINDOW w AS (PARTITION BY sy
     o="SELECT *, i <= 20 AS is_seed, i = 20 AS is_base FROM n"))
 def book_order_flow(spark, folder):
     df, axis = table(spark, folder, "order_events")
-    seeded = over_rows(df, axis, lambda d, w: d.withColumn("is_seed", F.lag("seq", 20).over(w).isNull()), back=20)
-    return orderbook.book_ofi(seeded, axis).select("symbol", "seq", "ofi")
+    seeded = over_rows(lay_out(df, axis), axis, lambda d, w: d.withColumn("is_seed", F.lag("seq", 20).over(w).isNull()), back=20, laid_out=True)
+    return orderbook.book_ofi(seeded, axis, laid_out=True).select("symbol", "seq", "ofi")
 
 
 @query(over("ticks", "SELECT symbol, seq, ofi FROM c", sided=SIDED, c=CONT))
