@@ -1,11 +1,13 @@
 """Waiting rows of a live symbol: handed over piece by piece, with few calls to the store."""
 
+import datetime as dt
 import random
 
 import pandas as pd
+import pyarrow as pa
 
 from tickloom.streaming import ordered
-from tickloom.streaming.ordered import BookProcessor, WaitingRows
+from tickloom.streaming.ordered import BookProcessor, VolumeBarProcessor, WaitingRows
 
 
 class _Store:
@@ -127,3 +129,35 @@ def test_a_volume_bar_goes_on_in_the_next_frame(monkeypatch):
     out = run(ordered.VolumeBarProcessor(500), rows[::-1], columns, 1_000)
     assert len(out) > 100 and pd.concat([f for f in out if len(f)])["bar_id"].tolist() == [b[1] for b in want]
     assert sum(f["total_volume"].sum() for f in out) == sum(b[7] for b in want)
+
+
+def test_live_rows_go_into_keyed_state_in_blocks(spark):
+    """Each row that goes into keyed state becomes a Python tuple; blocks of a symbol do not."""
+    rows = spark.range(50_000).selectExpr("IF(id % 5 = 4, NULL, CONCAT('s', id % 5)) AS symbol", "TIMESTAMP_MICROS(id * 7919 % 50000) AS ts", "id AS seq", "CAST(id AS DOUBLE) AS price", "IF(id % 3 = 0, NULL, id) AS volume")
+    out = ordered.blocks(rows.repartition(2), VolumeBarProcessor.waiting).collect()
+    assert 5 * 2 <= len(out) <= 2 * (50_000 // ordered.BLOCK_ROWS + 5)
+    schema = ordered._schema(VolumeBarProcessor.waiting)
+    found = []
+    for block in out:
+        held = ordered._tuples(pa.ipc.read_record_batch(pa.py_buffer(bytes(block["rows"])), schema))
+        assert max(r[0] for r in held) == (block["ts"] - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+        found += [(block["symbol"], *r) for r in held]
+    want = [(None if i % 5 == 4 else f"s{i % 5}", i * 7919 % 50_000, i, float(i), i if i % 3 else None) for i in range(50_000)]
+    assert sorted(found, key=lambda r: r[2]) == want
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_late_row_of_a_block_in_time_is_dropped():
+    handle, bars = _Handle(), VolumeBarProcessor(500)
+    bars.init(handle)
+    block = lambda *us: iter([pd.DataFrame({"symbol": ["A"], "ts": [pd.Timestamp(max(us), unit="us")], "rows": [ordered._batch([(u, u, 1.0, 2) for u in us], bars.pending.schema).serialize().to_pybytes()]})])
+    list(bars.handleInputRows(("A",), block(5_000, 9_000), _Now(7)))
+    list(bars.handleInputRows(("A",), block(6_999, 7_000, 7_001), _Now(8)))
+    assert [r[0] for r in bars.pending.take(10_000)] == [5_000, 7_001, 9_000]

@@ -1,7 +1,9 @@
 """Live versions of the tick operators, as Structured Streaming queries.
 
 A stream carries a zoned ``ts`` (a watermark does not take a zone-less one). Every function
-takes and returns a streaming DataFrame; rows later than the watermark are dropped by Spark.
+takes and returns a streaming DataFrame; rows later than the watermark are dropped by Spark. The keyed streams (OFI, book,
+volume bars) take rows in blocks: a block that is late as a whole is dropped by Spark, and a late row among others in time by
+the watermark that its symbol last saw, so one of a symbol that was away meanwhile may still count, in its place.
 With all rows closed behind the watermark the output equals the batch operator's.
 """
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import col
-from .ordered import BookProcessor, OfiProcessor, VolumeBarProcessor
+from .ordered import BookProcessor, OfiProcessor, VolumeBarProcessor, blocks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -96,7 +98,7 @@ def ofi_bar_stream(
 
 def _keyed(df: DataFrame, processor, out: T.StructType, delay: str, columns: list[str]) -> DataFrame:
     return (
-        df.select("symbol", "ts", "seq", *columns)
+        blocks(df.select("symbol", "ts", "seq", *columns), processor.waiting)
         .withWatermark("ts", delay)
         .groupBy("symbol")
         .transformWithStateInPandas(
