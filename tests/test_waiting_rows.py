@@ -161,3 +161,20 @@ def test_a_late_row_of_a_block_in_time_is_dropped():
     list(bars.handleInputRows(("A",), block(5_000, 9_000), _Now(7)))
     list(bars.handleInputRows(("A",), block(6_999, 7_000, 7_001), _Now(8)))
     assert [r[0] for r in bars.pending.take(10_000)] == [5_000, 7_001, 9_000]
+
+
+def test_columns_follow_as_single_rows_do():
+    """One frame, or frames of any size: the same rows, and what is missing stays missing."""
+    draw = random.Random(4)
+    some = lambda value: None if draw.random() < 0.3 else value()
+    price, size = lambda: draw.randint(0, 4) / 4, lambda: draw.randint(-2, 9)
+    quotes = [(i, i, some(price), some(price), some(size), some(size), some(price), some(size)) for i in range(300)]
+    orders = [(i, i, draw.choice(["buy", "sell"]), some(price), some(size), some(lambda: draw.random() < 0.2)) for i in range(300)]
+    ticks = [(i, i, some(price), some(size)) for i in range(300)]
+    for make, state, rows in ((ordered.OfiProcessor, "quote", quotes), (BookProcessor, "touch", orders), (lambda: VolumeBarProcessor(20), "bar", ticks)):
+        single, whole, cut = make(), make(), make()
+        for p in (single, whole, cut):
+            setattr(p, state, _Value())
+        want = [r for row in rows for r in single.advance("A", [row])]
+        assert whole.advance("A", rows) == want and len(want) > 30
+        assert [r for i in range(0, 300, 7) for r in cut.advance("A", rows[i : i + 7])] == want
