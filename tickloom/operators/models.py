@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import unit_root_p
-from ..plans import POS, Axis, TICKS, attach, average_rank, before, change, materialise, over_rows, with_positions
+from ..plans import (
+    POS, Axis, TICKS, attach, average_rank, before, change, materialise, over_rows, rank_correlations, with_positions,
+)
 from .features import chronological_split
-from .stats import rank_ic
 
 #: Matrices a task holds before it emits them.
 HELD_MATRICES = 256
@@ -93,17 +94,19 @@ def _split_and_centred(df: DataFrame, columns: list[str], axis: Axis, train: flo
 
 def ridge_baseline(
     df: DataFrame, features: list[str], axis: Axis = TICKS, target: str = "ret_1m", train: float = 0.7, alpha: float = 1.0,
+    stored: bool = False,
 ) -> DataFrame:
     """Fit on the first rows of each key, scaled by their mean and population std; report rank IC and R² on the rest.
 
     One matrix of sums and products per (key, split), added up in the tasks, holds all that scaling, fit and R² need; a second pass over the
-    test rows gives the rank IC. A key too short to be fitted or scored stays in the report with missing scores.
+    test rows gives the rank IC. A key too short to be fitted or scored stays in the report with missing scores. ``stored`` says
+    that ``df`` is read from a table with little work, so that its rows need not be written once more.
     """
     axis = axis.measured(df)
     columns, keys, p = [*features, target], list(axis.keys), len(features)
     whole = df.select(*keys, *axis.order, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
     # both passes read these rows: written once, they carry no plan of how the features were made
-    d = _split_and_centred(materialise(whole), columns, axis, train)
+    d = _split_and_centred(whole if stored else materialise(whole), columns, axis, train)
     row = F.array(F.lit(1.0), *columns).alias("_row")
     moments = cross_products(d.select(*keys, "is_train", row), (*keys, "is_train"), "_row")
     fields = [df.schema[k] for k in keys]
@@ -149,7 +152,8 @@ def ridge_baseline(
         return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("oos_ic"), *[F.first(c).alias(c) for c in scores])
     fit = materialise(fit)
     met = attach(test, fit.select(*keys, "intercept", "coef"), axis.keys, axis.n_keys).withColumn("prediction", guess)
-    ic = rank_ic(met, axis, "prediction", target).select(*keys, F.col("ic").alias("oos_ic"))
+    scored = met.select(*keys, *axis.order, "prediction", target).na.drop("any", subset=["prediction", target])
+    ic = rank_correlations(scored, axis, ["prediction"], target, value="oos_ic").select(*keys, "oos_ic")
     return fit.join(ic, keys, "left").select(*keys, "oos_ic", *scores)
 
 

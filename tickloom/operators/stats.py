@@ -278,11 +278,14 @@ def _places(df: DataFrame, axis: Axis) -> list[str]:
 
 
 def feature_ic(
-    df: DataFrame, features: list[str], axis: Axis = TICKS, target: str = "ret_1m", round_dp: int | None = None,
+    df: DataFrame, features: list[str], axis: Axis = TICKS, target: str = "ret_1m", round_dp: int | None = None, stored: bool = False,
 ) -> DataFrame:
-    """Spearman correlation of every feature with one target over the rows complete in all of them."""
+    """Spearman correlation of every feature with one target over the rows complete in all of them.
+
+    ``stored`` says that ``df`` is read from a table with little work, so that its rows need not be written once more.
+    """
     axis = axis.measured(df)
     places = [c for c in axis.order if c in df.columns and c not in (*features, target)]
     whole = df.select(*axis.keys, *places, *features, target).na.drop("any", subset=[*axis.keys, *features, target])
-    found = rank_correlations(whole, axis, list(features), target, "feature", "ic", "n_obs")
+    found = rank_correlations(whole, axis, list(features), target, "feature", "ic", "n_obs", stored)
     return found.withColumn("ic", round_to(F.col("ic"), round_dp)).orderBy(*axis.keys, F.desc("ic"))
