@@ -178,3 +178,17 @@ def test_columns_follow_as_single_rows_do():
         want = [r for row in rows for r in single.advance("A", [row])]
         assert whole.advance("A", rows) == want and len(want) > 30
         assert [r for i in range(0, 300, 7) for r in cut.advance("A", rows[i : i + 7])] == want
+
+
+def test_bars_within_a_frame_are_closed_as_columns(monkeypatch):
+    """Only the first bar of a frame, and one that was open before, are looked at on their own."""
+    calls, closed = [], VolumeBarProcessor._closed
+    monkeypatch.setattr(VolumeBarProcessor, "_closed", staticmethod(lambda key, bar: calls.append(bar) or closed(key, bar)))
+    rows = [(i, i, None if i % 5 == 0 else 1.0 + i % 3, None if i % 7 == 0 else 600 - i % 4 * 600 if i % 11 else 0) for i in range(2_000)]
+    single, whole = VolumeBarProcessor(500), VolumeBarProcessor(500)
+    single.bar, whole.bar = _Value(), _Value()
+    want = [r for row in rows for r in single.advance("A", [row])]
+    assert len(want) > 500 and any(r[3] is None for r in want) and any(r[7] == 0 for r in want)
+    calls.clear()
+    assert [r for i in range(0, 2_000, 500) for r in whole.advance("A", rows[i : i + 500])] == want
+    assert whole.bar.get() == single.bar.get() and len(calls) <= 2 * 4

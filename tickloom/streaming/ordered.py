@@ -395,12 +395,11 @@ class VolumeBarProcessor(OrderedProcessor):
         goes_on = held is not None and held[0] == bar_id[0]
         before = held[7] if goes_on and held[7] is not None else 0.0
         value = np.bincount(np.append(0, bar), weights=np.append(before, np.where(both, price.values * volume.values, 0.0)), minlength=m)
-        columns = [bars["bar_id"], bars["ts"], *[(bars[c], priced) for c in ("open", "high", "low", "close")], bars["total"], (value, valued)]
-        listed = [[v if k else None for v, k in zip(c[0].tolist(), c[1].tolist())] if isinstance(c, tuple) else c.tolist() for c in columns]
-        found = [list(b) for b in zip(*listed)]
+        columns = [(bars["bar_id"], None), (bars["ts"], None), *[(bars[c], priced) for c in ("open", "high", "low", "close")], (bars["total"], None), (value, valued)]
+        one = lambda i: [v[i].item() if known is None or known[i] else None for v, known in columns]
+        b, closed = one(0), []
         if goes_on:
             _, _, was_open, was_high, was_low, was_close, was_total, was_value = held
-            b = found[0]
             if was_open is not None:
                 b[2] = was_open
                 b[3] = was_high if b[3] is None else max(was_high, b[3])
@@ -409,9 +408,24 @@ class VolumeBarProcessor(OrderedProcessor):
             b[6] += was_total
             b[7] = was_value if b[7] is None else b[7]
         elif held is not None:
-            found.insert(0, held)
-        self.bar.update((int(upto[-1]), *found.pop()))
-        return _batch([self._closed(key, b) for b in found], self.out)
+            closed.append(held)
+        if m > 1:
+            closed.append(b)
+            b = one(m - 1)
+        self.bar.update((int(upto[-1]), *b))
+        few = _batch([self._closed(key, c) for c in closed], self.out)
+        return few if m < 3 else pa.Table.from_batches([few, self._between(key, columns)]).combine_chunks().to_batches()[0]
+
+    def _between(self, key, columns: list[tuple]) -> pa.RecordBatch:
+        """Rows of the bars that opened and closed in one frame: all but its first and last, as whole columns."""
+        cut = [(v[1:-1], None if known is None else known[1:-1]) for v, known in columns]
+        (total, _), (value, valued) = cut[-2:]
+        divided = valued & (total != 0)
+        vwap = np.divide(value, total, out=np.zeros(len(total)), where=divided)
+        known = [(v, k) for v, k in cut[:-1]] + [(vwap, divided)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key] * len(total), type=pa.string()), *[pa.array(v, mask=None if k is None else ~k) for v, k in known]], schema=self.out
+        )
 
     @staticmethod
     def _closed(key, bar):
