@@ -10,9 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import models
+from tickloom.operators import features, models
 from tickloom.operators.normalize import normalize_features
-from tickloom.plans import Axis, Rolling, average_rank, over_rows, quantiles, ranking, rolling_rank, with_rolling
+from tickloom.operators.trades import kyle_lambda
+from tickloom.plans import Axis, Rolling, average_rank, full_frames, over_rows, quantiles, ranking, rolling_rank, rolling_std, with_rolling
 from tickloom.plans.orderstat import count_below, trailing_ranks
 
 SCHEMA = "symbol string, ts long, seq long, x double, y double, k long"
@@ -235,3 +236,35 @@ def test_quantiles_shuffle_their_brackets_only(spark):
     inside = ranking._bracketed(df, axis, "x", [0.01, 0.5, 0.99])
     assert 0 < inside.count() < 0.02 * 200_000
     assert "rangepartitioning" not in plan_of(quantiles(df, axis, "x", [0.5]))
+
+
+def test_full_frames_equal_sliding_frames(spark):
+    """States of five rows, merged: the same values as frames of twenty, gaps, constant stretches and key starts included."""
+    rng = random.Random(8)
+    draw = lambda i, gap: None if rng.random() < gap else 0.1 if i % 90 < 30 else rng.gauss(1e4, 1)
+    rows = [(s, i, draw(i, 0.01), draw(i, 0.01), rng.choice([-7, 0, 2**40])) for s, n in (("a", 700), ("b", 19), ("c", 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, x double, y double, k long")
+    w = Axis(order=("ts",)).window()
+    states, values = full_frames(w, 20, 5, sx=("std", "x"), sk=("std", "k"), yx=("slope", "y", "x"), yk=("slope", "y", "k"))
+    found = df.withColumns(states).withColumns(values)
+    found = found.withColumns({"sx_": rolling_std("x", w, 20), "sk_": rolling_std("k", w, 20), "yx_": kyle_lambda("y", "x", w), "yk_": kyle_lambda("y", "k", w)})
+    seen = [[(r[c], r[f"{c}_"]) for r in found.collect()] for c in ("sx", "sk", "yx", "yk")]
+    for pairs in seen:
+        assert [a is None for a, _ in pairs] == [b is None for _, b in pairs] and sum(a is not None for a, _ in pairs) > 200
+        assert all(a == pytest.approx(b, rel=1e-9, abs=1e-12) for a, b in pairs if a is not None)
+    assert any(a == 0 for a, _ in seen[0]) and all((a == 0) == (b == 0) for a, b in seen[0] if a is not None)
+    assert sum(a is not None for a, _ in seen[2]) < sum(a is not None for a, _ in seen[0])
+    with pytest.raises(ValueError, match="whole steps"):
+        full_frames(w, 20, 6, sx=("std", "x"))
+    with pytest.raises(ValueError, match="unknown value"):
+        full_frames(w, 20, 5, sx=("mean", "x"))
+
+
+def test_features_slide_over_few_rows(spark, folder):
+    """A sliding frame adds up all its rows again for each row, so the features have none of twenty."""
+    ticks = spark.read.parquet(f"{folder}/events.parquet").selectExpr(
+        "event_type AS symbol", "ts", "event_id AS seq", "value AS bid_price", "value + 1 AS ask_price", "user_id AS bid_size", "user_id AS ask_size", "value AS trade_price", "user_id AS volume"
+    )
+    plan = features.lagged_feature_table(ticks, Axis(rows_per_task=400))._jdf.queryExecution().optimizedPlan().toString()
+    starts = {int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, (-\d+), currentrow", plan)}
+    assert starts and min(starts) > -10

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import queue_imbalance, quoted_spread, ratio, weighted_mid, zero_to_null
 from ..plans import (
-    POS, Axis, TICKS, after, attach, before, change, lay_out, over_rows, rolling_mean, rolling_std, running,
+    POS, Axis, TICKS, after, attach, before, change, full_frames, lay_out, over_rows, rolling_mean, rolling_std, running,
     with_positions, with_rolling_sums,
 )
 from .ofi import OFI_SUMS, ofi_column
-from .trades import amihud, count_imbalance, kyle_lambda, side_sign, simple_return, with_vwap
+from .trades import amihud, count_imbalance, side_sign, simple_return, with_vwap
 
 #: The sixteen features in their documented order.
 FEATURES = (
@@ -34,18 +34,21 @@ def _feature_columns(price: str, volume: str):
                 "_ret": simple_return(price, w),
             }
         ).withColumn("_signed", F.col("_sign") * F.col(volume))
+        kept = [c for c in d.columns if c not in ("_sign", "_ret", "_signed")]
+        rolled = ["spread_change", "trade_imbalance", "kyle_lambda", "amihud", "realized_vol", "ofi_norm"]
+        # the states are added ahead of the sums and the values after them, so that they share their windows
+        states, values = full_frames(w, 20, 5, kyle_lambda=("slope", "_ret", "_signed"), realized_vol=("std", "_ret"), _ofi_std=("std", "ofi"))
         d = d.withColumns(
             {
                 "spread_change": change("spread", w),
                 "trade_imbalance": count_imbalance(w, "_sign"),
-                "kyle_lambda": kyle_lambda("_ret", "_signed", w),
                 "amihud": amihud("_ret", volume),
-                "realized_vol": rolling_std("_ret", w, 20),
-                "ofi_norm": ratio("ofi", zero_to_null(rolling_std("ofi", w, 20))),
+                **states,
             }
         )
-        d = with_rolling_sums(d, w, **{label: ("ofi", n) for label, n in OFI_SUMS.items()})
-        return d.drop("_sign", "_ret", "_signed")
+        d = with_rolling_sums(d, w, **{label: ("ofi", n) for label, n in OFI_SUMS.items()}).withColumns(values)
+        d = d.withColumn("ofi_norm", ratio("ofi", zero_to_null("_ofi_std")))
+        return d.select(*kept, *[c for c in (*rolled, *OFI_SUMS) if c not in kept])
 
     return build
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -120,6 +121,46 @@ def with_rolling_sums(df: DataFrame, w: WindowSpec, **sums: tuple[str, int]) ->
     return (df.withColumns(totals) if totals else df).withColumns(added).drop(*totals)
 
 
+def full_frames(w: WindowSpec, n: int, step: int, **values: tuple[str, ...]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Columns to add one after the other: states of frames of ``step`` rows, and ``values`` over frames of ``n`` rows from them.
+
+    A value is ``("std", x)`` or ``("slope", y, x)``, the slope of y over x, missing unless the frame holds ``n`` known values
+    or pairs. A sliding frame adds up its rows again for every row; here it does so for ``step`` rows, and the states of
+    ``n / step`` frames side by side merge by Chan's formula, so nothing cancels and a constant frame has no spread at all.
+    """
+    if n % step:
+        raise ValueError("a frame is cut into whole steps")
+    frame, states, found = trailing(w, step), {}, {}
+
+    def parts(name: str, state: Column, *known: str) -> list[Column]:
+        full = reduce(lambda a, b: a & b, [F.count(x).over(frame) == step for x in known])
+        states.setdefault(name, F.when(full, state.over(frame)))
+        return [F.lag(name, k).over(w) if k else F.col(name) for k in range(0, n, step)]
+
+    def total(terms: list[Column]) -> Column:
+        # in halves: four equal means add up exactly
+        half = len(terms) // 2
+        return total(terms[:half]) + total(terms[half:]) if half else terms[0]
+
+    def spread(x: str, y: str) -> Column:
+        """Sum of the products of the deviations of x and y."""
+        inner = parts(f"_var_{x}", F.var_pop(x), x) if x == y else parts(f"_cov_{x}_{y}", F.covar_pop(x, y), x, y)
+        mx, my = (parts(f"_mean_{c}", F.avg(c), c) for c in (x, y))
+        off = lambda means: [m - total(means) / len(means) for m in means]
+        return (total(inner) + total([a * b for a, b in zip(off(mx), off(my))])) * step
+
+    for name, (kind, *columns) in values.items():
+        if kind == "std":
+            found[name] = F.sqrt(spread(columns[0], columns[0]) / (n - 1))
+        elif kind == "slope":
+            y, x = columns
+            across = spread(x, x)
+            found[name] = F.when(across != 0, spread(y, x) / across)
+        else:
+            raise ValueError(f"unknown value of a frame {kind!r}: choose std or slope")
+    return states, found
+
+
 def rolling_min(x, w, n, **kw) -> Column:
     return rolling(F.min, x, w, n, **kw)
 
